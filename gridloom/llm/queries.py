@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).taken()
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_output
 
