@@ -65,5 +65,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A to Z and nothing else; the slow character map runs only where a capital occurs."""
-    return F.when(text.rlike("[A-Z]"), F.translate(text, UPPER, LOWER)).otherwise(text)
+    """Lower-case A to Z and nothing else; the slow character map runs only over texts with other signs than ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
