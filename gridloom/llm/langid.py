@@ -24,14 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 3
 PAD = b"\n" * ORDER
-#: Rows of training text a language at most (those with the smallest hash of their id), and contexts kept of each order above one.
+#: Rows of training text a language (an expected number: rows are taken by the hash of their id), and contexts kept of each order above one.
 ROWS_A_LANGUAGE, CONTEXTS = 2000, {2: 3000, 3: 4000}
 EVIDENCE_BYTES = 64
+MOST_LANGUAGES = 200
 CHUNK = 1 << 20
 SCORED = "lang_pred string, score double, bits_per_byte double"
 
@@ -141,10 +142,15 @@ class Model:
 def train(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model | None:
     """A model from (doc_id, text, lang), or None without usable rows."""
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    picked = usable.select("lang", F.col("doc_id"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t"))
-    picked = picked.withColumn("r", F.row_number().over(by)).where(F.col("r") <= rows_a_language).select("lang", "doc_id", "t").distinct()
-    sample = usable.select("lang", "doc_id", "text", F.xxhash64("text").alias("t")).join(picked, ["lang", "doc_id", "t"], "left_semi")
+    known = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the table of code lengths would not fit a worker")
+    if not known:
+        return None
+    # a share of each language's rows by the hash of their id: no language is sorted or gathered
+    shares = F.create_map(*[x for r in known for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_a_language / r["count"])))])
+    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    sample = usable.where(place < shares[F.col("lang")]).select("lang", "text")
     counts = count_contexts(sample).toPandas()
     return Model(counts) if len(counts) else None
 
