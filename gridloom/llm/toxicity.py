@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. Lexicons. A fixed list of insults, and signs learned from labelled rows: word
-   beginnings (``PREFIXES`` letters) and whole words that stand almost only in
+   beginnings (``PREFIXES`` letters) and whole words that stand mostly in
    documents labelled toxic.
 2. Voters. The fixed list, the learned signs dealt into ``LEXICONS`` lists by
    rank, and patterns: several different signs, a sign repeated, signs dense
@@ -44,7 +44,7 @@ INSULTS = (
 LABELLED_ROWS = 12_000
 PREFIXES = (3, 8)
 MOST_SIGNS, LEXICONS = 400, 8
-PRECISION, LEAST_ROWS = 0.85, 3
+PRECISION, LEAST_ROWS = 0.5, 3
 THRESHOLD = 0.7
 
 
@@ -82,10 +82,10 @@ class Signs:
 
 
 def learned_signs(rows: DataFrame) -> list[tuple[str, int, int]]:
-    """(sign, toxic rows, clean rows) of signs that stand almost only in toxic rows of (text, toxic), best first.
+    """(sign, toxic rows, clean rows) of signs that stand mostly in toxic rows of (text, toxic), best first.
 
     A sign needs more toxic rows than chance gives one of all candidates. Of a
-    beginning and its extensions only the shortest good one stays.
+    beginning and extensions found in as many rows only the longest stays.
     """
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     if not total.n or not total.pos or total.pos == total.n:
@@ -99,10 +99,12 @@ def learned_signs(rows: DataFrame) -> list[tuple[str, int, int]]:
     # the chance of so many toxic rows among n at the base rate, by Chernoff's bound, over a million candidates
     p, share = F.lit(base), F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
     bound = F.col("n") * (share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p)))
-    counts = counts.where(bound >= np.log(2e4)).orderBy(F.desc(bound), "sign").limit(50 * MOST_SIGNS)
-    found = [(r.sign, int(r.pos), int(r.n - r.pos)) for r in counts.collect()]
-    good = {s for s, _, _ in found}
-    kept = [x for x in found if not any(x[0].rstrip("$")[:k] in good for k in range(low, len(x[0].rstrip("$")) + x[0].endswith("$")))]
+    counts = counts.where(bound >= np.log(2e4)).orderBy(F.desc(F.round(bound, 6)), F.desc(F.length("sign")), "sign").limit(50 * MOST_SIGNS)
+    kept: list[tuple[str, int, int]] = []
+    for r in counts.collect():
+        stem, found = r.sign.rstrip("$"), (int(r.pos), int(r.n - r.pos))
+        if not any(y[1:] == found and (y[0].startswith(stem) or stem.startswith(y[0].rstrip("$"))) for y in kept):
+            kept.append((r.sign, *found))
     return kept[:MOST_SIGNS]
 
 
