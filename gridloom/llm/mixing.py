@@ -91,7 +91,7 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """Words that the mix takes, per row of the input."""
-        joined = self.pieces.join(self.slots.drop("shard", "pass"), ["ord", "block"], "left")
+        joined = self.pieces.join(self.slots.drop("shard", "pass").hint("merge"), ["ord", "block"], "left")  # both sides grow with the corpus: never broadcast
         words = F.greatest(F.least(F.col("to"), F.coalesce(F.col("take"), F.lit(0))) - F.col("from"), F.lit(0))
         per_row = joined.groupBy("rid", "doc_id", "ord", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
         stats = self.sources.select("ord", "source_size", "target")
@@ -99,7 +99,7 @@ class Mixture:
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix as documents: a row for each pass that takes words of a row, its text whole or cut to the words taken."""
-        joined = self.pieces.where("size > 0").join(self.slots.drop("shard"), ["ord", "block"])
+        joined = self.pieces.where("size > 0").join(self.slots.drop("shard").hint("merge"), ["ord", "block"])
         joined = joined.withColumn("n", F.least(F.col("to"), F.col("take")) - F.col("from")).where("n > 0")
         runs = joined.groupBy("doc_id", "source", "text_hash", "rid", "pass", "size").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n")))).alias("runs"))
         names = docs.columns
