@@ -25,6 +25,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
