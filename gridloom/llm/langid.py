@@ -33,6 +33,7 @@ PAD = b"\n" * ORDER
 ROWS_A_LANGUAGE, CONTEXTS = 2000, {2: 3000, 3: 4000}
 EVIDENCE_BYTES = 64
 MOST_LANGUAGES = 200
+UNDETERMINED = "und"
 CHUNK = 1 << 20
 SCORED = "lang_pred string, score double, bits_per_byte double"
 
@@ -170,7 +171,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letter(t)]
-            pred, sure, rate = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+            pred, sure, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             if known:
                 raw = [texts[i].encode() for i in known]
                 sizes = np.array([len(t) for t in raw])
