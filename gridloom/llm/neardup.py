@@ -11,10 +11,16 @@ of a document are filled, as later rounds can only bring larger values.
 a pair of similarity 0.85 shares no bucket with probability 6e-11.
 
 Equal sets fold into one node first. In each bucket every member is compared
-with one centre; whatever still lies in different components of one bucket is
-compared with other centres, then pair by pair across components. Pairs pass a
-signature estimate (far below the threshold, so that nothing is lost to noise)
-and are confirmed on full sets computed from whole texts. Confirmed links go to
+with one centre, then, where a bucket still holds several components, with
+another. What can be left are links between components of one bucket, as in
+families of texts that resemble each other, but mostly less than the threshold.
+Pairing all their members would be quadratic, so: members of a bucket are
+compared by signature, tile by tile, and only documents that seem to have a
+partner in another component leave the tile. Among these documents exact prefix filtering
+(Bayardo et al., 2007) finds every possible pair: ordered from the rarest shingle, two sets
+similar enough share one of their first few. Pairs pass a signature estimate
+(far below the threshold, so that nothing is lost to noise) and are confirmed
+on full sets computed from whole texts. Confirmed links go to
 ``connected_components``; links are never collected.
 
 Rows without a doc_id link with nothing: their component_id is null and they are
@@ -33,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, partitions
 
 SHINGLE = 5
 M, BANDS = 128, 32
-#: A pair whose signatures agree in fewer components than this share is not verified: 6 standard errors below 0.85, 5 below 0.8.
-ESTIMATE = 0.62
+#: A pair whose signatures agree in a share of components this much below the threshold is not verified: more than 4 standard errors.
+MARGIN = 0.14
 CHUNK = 1 << 20
-CENTRES = 3
+TILE = 512
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -211,12 +217,22 @@ def _signed(ids: pa.Array, n: np.ndarray, flat: np.ndarray, offsets: np.ndarray)
 # --- links ---------------------------------------------------------------------------------------
 
 
-def _similar_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype="<u2").reshape(-1, M) for c in ("sig_a", "sig_b"))
-            good = pa.array((a == b).sum(axis=1) >= ESTIMATE * M)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(good), batch["b"].filter(good)], names=["a", "b"])
+def _signature_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, M)
+
+
+def _similar_signatures(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                good = pa.array((_signature_matrix(batch["sig_a"]) == _signature_matrix(batch["sig_b"])).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch["a"].filter(good), batch["b"].filter(good)], names=["a", "b"])
+
+    return run
+
+
+def _least(percent: int) -> float:
+    return (percent / 100 - MARGIN) * M
 
 
 def _confirm(percent: int):
@@ -242,7 +258,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     for side in "ab":
         own = nodes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         pairs = pairs.join(own, side)
-    near = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b").mapInArrow(_similar_signatures, "a long, b long")
+    near = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b").mapInArrow(_similar_signatures(_least(percent)), "a long, b long")
     near = materialize(near.distinct(), "similar-pairs")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
@@ -252,6 +268,90 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return materialize(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
 
+def _partnered(percent: int):
+    """Ids of tile members that seem to have a partner in another component; rows come sorted by tile."""
+
+    def tile(ids, components, sides, sig) -> np.ndarray:
+        one, two = (np.arange(len(ids)),) * 2 if sides[0] < 0 else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+        hit = np.zeros(len(ids), dtype=bool)
+        for i in one.tolist():
+            near = two[((sig[two] == sig[i]).sum(axis=1) >= _least(percent)) & (components[two] != components[i])]
+            if len(near):
+                hit[i] = True
+                hit[near] = True
+        return ids[hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, cuts in tiles(batches, ("key", "lo", "hi")):
+            ids, components, sides = (now[c].to_numpy() for c in ("doc_id", "component", "side"))
+            sig = _signature_matrix(now["sig"])
+            found = [tile(ids[a:b], components[a:b], sides[a:b], sig[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)) if found else [], pa.int64())], names=["doc_id"])
+
+    return run
+
+
+def tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole runs of equal keys of sorted rows, whatever batches they come in: a table and its cuts."""
+    rest: pa.Table | None = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            now = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch]).combine_chunks()
+        elif rest is None:
+            return
+        else:
+            now = rest
+        if not len(now):
+            continue
+        where = np.stack([now[c].to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), len(now)]
+        if batch is not None:
+            rest = now.slice(cuts[-2])  # may go on in the next batch
+            cuts = cuts[:-1]
+        if len(cuts) > 1:
+            yield now, cuts
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def tiled(members: DataFrame, key: str, node: str, size: int = TILE) -> DataFrame:
+    """Each row once for every pair of tiles of its key that holds its tile: adds lo, hi and side (0 or 1, or -1 in a tile paired with itself)."""
+    counts = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_tiles", F.expr(f"int((_n + {size - 1}) div {size})")).select(key, "_tiles")
+    rows = members.join(counts.hint("merge"), key).withColumn("_own", F.pmod(F.xxhash64(F.lit(size), node), F.col("_tiles")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
+    return rows.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other")).withColumn("side", side).drop("_tiles", "_own", "_other")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(len(batch)):
+            own = shingle_sets([(batch["text"][i].as_py() or "").encode()])[0]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, 1), pa.array([len(own)], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "n", "hashes"])
+
+
+def prefix_pairs(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components among ``wanted`` (doc_id, component) that can reach the threshold; none that reaches it is missing.
+
+    Of sets with n shingles in one common order, two that are similar enough share one of their first n - ceil(n * threshold) + 1.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = materialize(texts.mapInArrow(_shingles, "doc_id long, n long, hashes array<long>"), "shingles")
+    each = sets.select("doc_id", "n", F.explode("hashes").alias("hash"))
+    shared = each.groupBy("hash").agg(F.count("*").alias("f")).where("f > 1")
+    # shingles of one document only come first and lead to no pair
+    ranked = each.join(shared.hint("merge"), "hash").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "hash"))).alias("s"))
+    length = F.expr(f"n - ((n * {percent} + 99) div 100) + 1 - (n - size(s))").cast("int")
+    ranked = ranked.withColumn("p", length).where("p > 0").select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.col("p"))).alias("s")).select("doc_id", "n", F.col("s.hash").alias("hash"))
+    ranked = materialize(ranked.join(wanted, "doc_id"), "prefixes")
+    other = ranked.select("hash", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("k2"))
+    pairs = ranked.join(other.hint("merge"), "hash").where(f"component < k2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    return pairs.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = materialize(signatures(docs), "signatures")
@@ -263,39 +363,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # members of buckets with more than one node
     members = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("centre")).where("c > 1").drop("c")
-    members = materialize(members.join(shared, "key"), "bucket-members")
-    links = [confirmed(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), nodes, docs, percent)]
+    members = materialize(members.join(shared.hint("merge"), "key"), "bucket-members")
     # an id that rows of different texts share links their sets
     alike = named.select("doc_id", "fp1", "fp2").join(sets, ["fp1", "fp2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links.append(materialize(alike, "shared-ids"))
-
-    tried = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    for turn in range(CENTRES):
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        groups = materialize(connected_components(edges), "components")
-        # buckets that still hold nodes of different components
-        placed = members.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    links = materialize(alike, "shared-ids")
+    centred = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = links.union(confirmed(centred, nodes, docs, percent))
+
+    def open_members() -> tuple[DataFrame, DataFrame]:
+        """The components so far, and the members of buckets that hold several."""
+        groups = materialize(connected_components(links), "components")
+        placed = members.drop("centre").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = materialize(placed, "placed-members")
-        spread = F.xxhash64(F.lit(turn), "doc_id")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component", "n"), spread).alias("c")).where("lo < hi").select("key", "c")
-        open_members = materialize(placed.join(open_keys, "key"), "open-members")
-        if open_members.isEmpty():
-            break
-        if turn < CENTRES - 1:
-            pairs = open_members.where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"), F.col("n").alias("n1"), F.col("c.n").alias("n2"))
-        else:
-            other = open_members.select("key", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-            pairs = open_members.join(other, "key").where("component < k2").select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"), F.col("n").alias("n1"), "n2")
-        pairs = pairs.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select("a", "b").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        tried = tried.union(pairs)
-        links.append(confirmed(pairs, nodes, docs, percent))
-        if turn == CENTRES - 1:
-            for more in links[1:]:
-                links[0] = links[0].union(more)
-            groups = materialize(connected_components(links[0]), "components")
+        spread = F.xxhash64(F.lit(1), "doc_id")
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component", "n"), spread).alias("c")).where("lo < hi").select("key", "c")
+        return groups, materialize(placed.join(keys.hint("merge"), "key"), "open-members")
+
+    groups, left = open_members()
+    if not left.isEmpty():
+        again = left.where(f"component <> c.component and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+        again = again.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+        links = links.union(confirmed(again, nodes, docs, percent))
+        groups, left = open_members()
+    if not left.isEmpty():
+        spread = tiled(left.drop("c"), "key", "doc_id").hint("merge").join(nodes.select("doc_id", "sig"), "doc_id")
+        spread = spread.select("key", "lo", "hi", "side", "doc_id", "component", "sig").repartition(partitions(docs.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        seeming = spread.mapInArrow(_partnered(percent), "doc_id long").distinct()
+        seeming = materialize(left.select("doc_id", "component").distinct().join(seeming, "doc_id", "left_semi"), "seeming")
+        if not seeming.isEmpty():
+            links = links.union(confirmed(prefix_pairs(docs, seeming, percent), nodes, docs, percent))
+            groups = materialize(connected_components(links), "components")
     found = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2")
     rows = rows.join(found, ["fp1", "fp2"], "left")
