@@ -37,7 +37,7 @@ MAX_BITS = 16
 SEGMENT = 64
 BLOCK_IDS = 1 << 17
 #: Entries that a worker keeps; a full table is emptied, so memory is bounded at any vocabulary of words.
-CHUNKS_KEPT, WORDS_KEPT = 500_000, 700_000
+CHUNKS_KEPT, WORDS_KEPT = 250_000, 400_000
 
 RAW = "shard int, block int, ids_before long, doc_ids array<long>, doc_sizes array<int>, ids binary"
 BLOCKS = "shard int, block int, first long, n_ids int, doc_ids array<long>, doc_sizes array<int>, segments binary, payload binary"
