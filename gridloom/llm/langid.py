@@ -34,7 +34,7 @@ ROWS_A_LANGUAGE, CONTEXTS = 2000, {2: 3000, 3: 4000}
 EVIDENCE_BYTES = 64
 MOST_LANGUAGES = 200
 UNDETERMINED = "und"
-CHUNK = 1 << 20
+CHUNK, ROWS_AT_ONCE = 1 << 19, 256
 SCORED = "lang_pred string, score double, bits_per_byte double"
 
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, len(b), ROWS_AT_ONCE)):
             texts = batch["text"].to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letter(t)]
             pred, sure, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)

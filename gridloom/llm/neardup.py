@@ -45,7 +45,7 @@ SHINGLE = 5
 M, BANDS = 128, 32
 #: A pair whose signatures agree in a share of components this much below the threshold is not verified: more than 4 standard errors.
 MARGIN = 0.14
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 TILE = 512
 
 _U = np.uint64

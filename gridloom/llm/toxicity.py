@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_SIGNS signs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, len(b), 256)):
             p = shared.value.scores([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["kept"], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["kept", "score", "predicted"])
 
