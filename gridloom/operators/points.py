@@ -344,11 +344,11 @@ class PointSet:
                 after += [2 * idx + 1, 2 * idx + 2] if split else []
             if not after:
                 break
-            move = F.col("node")
-            for idx in level:
-                if idx in nodes and nodes[idx][1] >= 0:
-                    move = F.when((F.col("node") == idx), F.when(F.col(f"x{nodes[idx][1]}") <= nodes[idx][2], 2 * idx + 1).otherwise(2 * idx + 2)).otherwise(move)
-            df = df.withColumn("node", move.cast("long"))
+            # at most 2^max_depth rows
+            splits = [(idx, nodes[idx][1], nodes[idx][2]) for idx in level if idx in nodes and nodes[idx][1] >= 0]
+            table = self.df.sparkSession.createDataFrame(splits, "node long, axis int, value double")
+            at = F.element_at(F.array(*self.axes), F.col("axis") + 1)
+            df = df.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(at <= F.col("value"), 1).otherwise(2))).drop("axis", "value")
             level = after
         begins = {0: 0}
         for idx in order:
