@@ -349,6 +349,7 @@ class PointSet:
             table = self.df.sparkSession.createDataFrame(splits, "node long, axis int, value double")
             at = F.element_at(F.array(*self.axes), F.col("axis") + 1)
             df = df.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(at <= F.col("value"), 1).otherwise(2))).drop("axis", "value")
+            df = materialize(df)
             level = after
         begins = {0: 0}
         for idx in order:
