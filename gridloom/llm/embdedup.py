@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ TILE = 512
 SEED = 7
 
 
+@lru_cache
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([SEED, seed, dim]).standard_normal((dim, count))
 
@@ -77,27 +79,31 @@ def cells(x: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Tiles with up to this many (pair, line) combinations are compared outright; sorting pays in larger ones.
+OUTRIGHT = 1 << 19
+
+
 def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each row of a with each row of b: on how many lines b's projection lies in a's window."""
-    lines = directions(a.shape[1], PROJECTIONS, 2)
-    pa_, pb = a @ lines, b @ lines
-    order = np.argsort(pb, axis=0)
+    """Of projections a (points x lines) with projections b: on how many lines b's lies in the window around a's."""
+    if len(a) * a.shape[1] * len(b) <= OUTRIGHT:
+        return ((b[None, :, :] >= a[:, None, :] - HALF_WIDTH) & (b[None, :, :] <= a[:, None, :] + HALF_WIDTH)).sum(axis=2)
+    order = np.argsort(b, axis=0)
     rank = np.empty(order.shape, dtype=np.int32)
     count = np.zeros((len(a), len(b)), dtype=np.int16)
-    for k in range(PROJECTIONS):
+    for k in range(a.shape[1]):
         rank[order[:, k], k] = np.arange(len(b))
-        line = pb[order[:, k], k]
-        low, high = np.searchsorted(line, pa_[:, k] - HALF_WIDTH, "left"), np.searchsorted(line, pa_[:, k] + HALF_WIDTH, "right")
+        line = b[order[:, k], k]
+        low, high = np.searchsorted(line, a[:, k] - HALF_WIDTH, "left"), np.searchsorted(line, a[:, k] + HALF_WIDTH, "right")
         count += (rank[None, :, k] >= low[:, None]) & (rank[None, :, k] < high[:, None])
     return count
 
 
-def tile_links(ids, times, x, keys, side, table: int, cosine: float, least: int) -> tuple[list, list, list]:
+def tile_links(ids, times, x, lines, keys, side, table: int, cosine: float, least: int) -> tuple[list, list, list]:
     """(node, links, root) of the nodes of one tile that have links first found in this table; side is 0 or 1 in a tile of two parts, else -1."""
     one, two = (np.arange(len(ids)),) * 2 if side[0] < 0 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if not len(one) or not len(two):
         return [], [], []
-    i, j = np.nonzero(collisions(x[one], x[two]) >= least)
+    i, j = np.nonzero(collisions(lines[one], lines[two]) >= least)
     i, j = one[i], two[j]
     apart = ids[i] < ids[j] if side[0] < 0 else ids[i] != ids[j]
     i, j = i[apart], j[apart]
@@ -167,9 +173,14 @@ def near_vectors(table: DataFrame, cosine: float = 0.93) -> DataFrame:
             ids, times, side, tables = (now[c].to_numpy() for c in ("node", "times", "side", "t"))
             raw, keys = now["v"].to_pylist(), now["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
             out = [], [], []
+            alike = len({len(r) for r in raw}) == 1
+            x = units(raw, kind) if alike else None
+            lines = x @ directions(x.shape[1], PROJECTIONS, 2) if alike else None
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    for o, f in zip(out, tile_links(ids[a:b], times[a:b], units(raw[a:b], kind), keys[a:b], side[a:b], int(tables[a]), cosine, least)):
+                    own = x[a:b] if alike else units(raw[a:b], kind)
+                    at = lines[a:b] if alike else own @ directions(own.shape[1], PROJECTIONS, 2)
+                    for o, f in zip(out, tile_links(ids[a:b], times[a:b], own, at, keys[a:b], side[a:b], int(tables[a]), cosine, least)):
                         o.extend(f)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["node", "links", "root"])
 
