@@ -345,10 +345,12 @@ def prefix_pairs(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     # shingles of one document only come first and lead to no pair
     ranked = each.join(shared.hint("merge"), "hash").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "hash"))).alias("s"))
     length = F.expr(f"n - ((n * {percent} + 99) div 100) + 1 - (n - size(s))").cast("int")
-    ranked = ranked.withColumn("p", length).where("p > 0").select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.col("p"))).alias("s")).select("doc_id", "n", F.col("s.hash").alias("hash"))
-    ranked = materialize(ranked.join(wanted, "doc_id"), "prefixes")
-    other = ranked.select("hash", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-    pairs = ranked.join(other.hint("merge"), "hash").where(f"component < k2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    # a pair's first common shingle leaves no more overlap than either set has from there on (positional filter)
+    first = ranked.withColumn("p", length).where("p > 0").select("doc_id", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "s"))
+    prefix = first.select("doc_id", "n", F.col("s.hash").alias("hash"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest"))
+    prefix = materialize(prefix.join(wanted, "doc_id"), "prefixes")
+    other = prefix.select("hash", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("k2"))
+    pairs = prefix.join(other.hint("merge"), "hash").where(f"component < k2 and {100 + percent} * least(rest, rest2) >= {percent} * (n + n2)")
     return pairs.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
 
 
