@@ -301,6 +301,8 @@ class PointSet:
         else:
             a, b = self._wrapped(other)
             near = a._near(b, widest, f"d2 <= {widest * widest!r}D")
+        # through a generator, or each branch of the bins would compute the distance anew
+        near = near.withColumn("d2", F.explode(F.array("d2")))
         binned = near.withColumn("bin", bin_index(F.col("d2"), ascending)).where("bin is not null").groupBy("bin").agg(total.alias("n"))
         rows = self.df.sparkSession.createDataFrame([(k, i, given[i]) for k, i in enumerate(order)], "bin int, k int, radius double")
         found = rows.join(binned, "bin", "left").withColumn("n", F.coalesce("n", zero))
