@@ -11,7 +11,8 @@ joined by (conversation, identifier). Sorting by (turn, level, part) is a
 topological order: a result that stands before its call moves to the call's
 turn, and a call moves to the turn of the last result that it waits for, under a higher ``level``: the
 length of the longest chain of calls before it. Whatever needn't move keeps its
-turn. A call that waits for itself, over others or not, stays where it is with status ``cycle``.
+turn. A call that waits for itself, over others or not, stays where it is with status ``cycle``, and so
+does one that waits for such a call. Chains of any length are followed, a round of joins for each level.
 
 Arguments are checked against the schemas: ``{tool: {parameter: (type, required)}}``,
 types as in JSON Schema. Each message is written as canonical JSON: keys sorted, no
@@ -31,14 +32,16 @@ steps are DataFrame expressions.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import drop_table, materialize
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string>"
-#: Dependencies are followed this far; longer chains count as cycles.
-DEEPEST = 64
+#: Rounds after which the tables of levels found so far are written as one.
+ROUNDS_A_TABLE = 8
 # How a variant's type tells of JSON types.
 TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY", "null": "VOID"}
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -79,7 +82,7 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
 def _levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
     """(conv_id, id, level, at) of calls that wait for others: chain length and the turn they move to; level -1 marks a cycle.
 
-    Rounds of joins, each written to the shared folder.
+    Rounds of joins, each written to the shared folder, until one adds no call: what is left then waits for a cycle.
     """
     first = calls.where("first_call")
     waits = materialize(first.select("conv_id", "id", F.explode("after").alias("on")).where("on is not null").distinct(), "waits")
@@ -89,7 +92,7 @@ def _levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
     open_calls = waits.select("conv_id", "id").distinct()
     done = F.greatest("turn", "answer").alias("done")
     known = materialize(base.join(open_calls, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("at"), done), "levels")
-    for _ in range(DEEPEST):
+    for turn in itertools.count(1):
         state = waits.join(known.select("conv_id", F.col("id").alias("on"), F.col("level").alias("l"), "done"), ["conv_id", "on"], "left")
         # an identifier that no call has holds nobody up
         state = state.join(base.select("conv_id", F.col("id").alias("on"), F.lit(True).alias("exists")), ["conv_id", "on"], "left")
@@ -99,6 +102,9 @@ def _levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         known = known.union(new)
+        if turn % ROUNDS_A_TABLE == 0:  # or the plan would grow with the chain
+            parts, known = known, materialize(known, "levels")
+            drop_table(parts)
     stuck = open_calls.join(known, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(-1).alias("level"), F.lit(None).cast("long").alias("at"))
     return known.where("level > 0").select("conv_id", "id", "level", "at").union(stuck)
 

@@ -74,6 +74,18 @@ def test_chat(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_long_chain(spark):
+    """70 calls, each waiting for the one before; the result of the first comes last. Behind them a true cycle and a call waiting for it."""
+    call = lambda i, *after: json.dumps({"tool_calls": [{"id": i, "name": "calculator", "arguments": {"expression": "1"}, "after": list(after)}]})
+    rows = [(1, k, "assistant", call(f"c{k}", *[f"c{k - 1}"] * (k > 0))) for k in range(70)] + [(1, 90, "tool", json.dumps({"tool_call_id": "c0", "content": "R"}))]
+    rows += [(2, 0, "assistant", call("x", "y")), (2, 1, "assistant", call("y", "x")), (2, 2, "assistant", call("z", "y"))]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = {r.call_id: r for r in got if json.loads(r.message)["type"] == "tool_call"}
+    assert {i: calls[i].status for i in "xyz"} == dict.fromkeys("xyz", "cycle")
+    assert [calls[f"c{k}"].level for k in range(70)] == list(range(70)) and [calls[f"c{k}"].turn for k in range(70)] == [0] + [90] * 69
+    assert calls["c0"].status == "ok" and {calls[f"c{k}"].status for k in range(1, 70)} == {"unanswered"}
+
+
 def test_pipeline(spark, odd, empty, tmp_path):
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     odd.write.parquet(str(tmp_path / "documents.parquet"))
