@@ -6,7 +6,8 @@ three bytes is built once and frozen. A byte's cost in a language is its exact
 PPM code length there: method C's escape probability (distinct followers over
 occurrences plus distinct followers) at each step to a shorter context, symbols
 of longer contexts excluded, and at the root an equal share for what is left.
-All costs are tabulated by (context, byte), so that scoring is a table walk.
+Every context of the sample is kept, sparsely: sorted contexts and grams of each
+language with their counts. A text's distinct grams are looked up once a chunk.
 
 A text is given to the language with the shortest code, the first by code point
 on a tie. A null text, or one without any letter, is ``und`` with score 0. The
@@ -20,6 +21,7 @@ columns other than doc_id, text and (in training) lang are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 PAD = b"\n" * ORDER
-#: Rows of training text a language (an expected number: rows are taken by the hash of their id), and contexts kept of each order above one.
-ROWS_A_LANGUAGE, CONTEXTS = 2000, {2: 3000, 3: 4000}
+#: Rows of training text a language (an expected number: rows are taken by the hash of their id).
+ROWS_A_LANGUAGE = 2000
 EVIDENCE_BYTES = 64
 MOST_LANGUAGES = 200
 UNDETERMINED = "und"
@@ -54,68 +56,102 @@ def count_contexts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """One language's contexts of zero to three bytes: for each order the sorted contexts with their occurrences, distinct
+    followers and the followers' occurrences one order below, and the sorted pairs of context and follower with their counts.
+    Followers of a context also follow its shorter ones, so exclusion only needs these sums."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.grams, self.logs, self.contexts, self.total, self.kinds, self.covered = [], [], [], [], [], []
+        below, order0 = None, np.argsort(gram)
+        gram, n = gram[order0], n[order0]
+        for order in range(ORDER + 1):
+            keys, back = np.unique(gram & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            count = np.bincount(back, weights=n)
+            context, first = np.unique(keys >> 8, return_index=True)
+            self.grams.append(keys.astype(np.uint32))
+            self.logs.append(np.log2(count))
+            self.contexts.append(context.astype(np.uint32))
+            self.total.append(np.add.reduceat(count, first))
+            self.kinds.append(np.diff(np.append(first, len(keys))))
+            if order:
+                shorter = below[1][np.searchsorted(below[0], keys & (1 << 8 * order) - 1)]
+                self.covered.append(np.add.reduceat(shorter, first))
+            else:
+                self.covered.append(None)
+            below = keys, count
+
+    def lengths(self, gram: np.ndarray, longest: int = ORDER) -> np.ndarray:
+        """The code length of each four-byte gram's last byte after the ``longest`` bytes before it."""
+        out, spent, taken = (np.zeros(len(gram)) for _ in range(3))
+        kinds, todo = np.zeros(len(gram), dtype=np.int64), np.arange(len(gram))
+        for order in range(longest, -1, -1):
+            own = gram[todo]
+            found, at = _find(self.grams[order], own & (1 << 8 * (order + 1)) - 1)
+            known, node = _find(self.contexts[order], own >> 8 & (1 << 8 * order) - 1)
+            # without the followers of the longer context, which have been tried
+            total, left = np.where(known, self.total[order][node] - taken[todo], 0), 256 - kinds[todo]
+            new = np.where(known, self.kinds[order][node] - kinds[todo], 0)
+            escapes = np.where(new < left, new, 0)  # nothing to escape to when all that is left was seen here
+            whole = np.log2(np.maximum(total + escapes, 1))
+            out[todo[found]] = (spent[todo] + whole - self.logs[order][at])[found]
+            spent[todo] += np.where(escapes > 0, whole - np.log2(np.maximum(escapes, 1)), 0)
+            kinds[todo] = np.where(known, self.kinds[order][node], 0)
+            if order:
+                taken[todo] = np.where(known, self.covered[order][node], 0)
+            todo = todo[~found]
+        out[todo] = spent[todo] + np.log2(np.maximum(256 - kinds[todo], 1))
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted value is among the sorted keys, and where."""
+    wanted = wanted.astype(np.uint32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 class Model:
-    """Frozen context trees of all languages in one table of code lengths."""
+    """Frozen context trees of all languages, with all contexts that the training sample holds."""
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique().tolist())
-        gram, n = counts["gram"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.float64)
-        lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(dtype=np.int64)
-        context, symbol = gram >> 8, gram & 0xFF
-        nodes: dict[int, np.ndarray] = {1: np.arange(256)}
-        for order, most in CONTEXTS.items():
-            keys, back = np.unique(context & (1 << 8 * order) - 1, return_inverse=True)
-            heavy = np.bincount(back, weights=n)
-            nodes[order] = np.sort(keys[np.lexsort((keys, -heavy))[:most]])
-        # rows of the table: order 1, then 2, then 3; each byte pair leads to its row, or to that of its last byte
-        first2, first3 = 256, 256 + len(nodes[2])
-        self.pair = np.tile(np.arange(256, dtype=np.int32), 256)
-        self.pair[nodes[2]] = first2 + np.arange(len(nodes[2]), dtype=np.int32)
-        self.triple = np.repeat(np.arange(first3, dtype=np.int32)[:, None], 256, axis=1)  # [row of the pair, byte before it]
-        parent = self.pair[nodes[3] & 0xFFFF]
-        deep = np.flatnonzero(parent >= 256)
-        nodes[3] = nodes[3][deep]
-        self.triple[parent[deep], nodes[3] >> 16] = first3 + np.arange(len(deep), dtype=np.int32)
-        self.cost = np.empty((first3 + len(deep), 256, len(self.langs)), dtype=np.float32)
-        for j in range(len(self.langs)):
-            own = lang == j
-            tables = {0: np.bincount(symbol[own], weights=n[own], minlength=256)[None, :]}
-            rows = {0: np.zeros(1, dtype=np.int64)}
-            for order in (1, 2, 3):
-                key = context[own] & (1 << 8 * order) - 1
-                keys, back = np.unique(key, return_inverse=True)
-                at = np.searchsorted(nodes[order], keys)
-                known = (at < len(nodes[order])) & (nodes[order][np.minimum(at, len(nodes[order]) - 1)] == keys) if len(nodes[order]) else np.zeros(len(keys), dtype=bool)
-                row = np.where(known, at, len(nodes[order]))
-                tables[order] = np.bincount(row[back] * 256 + symbol[own], weights=n[own], minlength=256 * (len(nodes[order]) + 1)).reshape(-1, 256)[: len(nodes[order])]
-            for order, start in ((1, 0), (2, first2), (3, first3)):
-                self.cost[start : start + len(nodes[order]), :, j] = self._lengths(order, nodes, tables)
-
-    @staticmethod
-    def _lengths(order: int, nodes: dict, tables: dict) -> np.ndarray:
-        n = len(nodes[order])
-        cost, spent, seen = np.zeros((n, 256)), np.zeros(n), np.zeros((n, 256), dtype=bool)
-        for k in range(order, -1, -1):
-            if k == 0:
-                counts = np.broadcast_to(tables[0], (n, 256))
-            else:
-                at = np.searchsorted(nodes[k], nodes[order] & (1 << 8 * k) - 1)
-                fits = at < len(nodes[k])
-                at = np.minimum(at, len(nodes[k]) - 1)
-                fits &= nodes[k][at] == nodes[order] & (1 << 8 * k) - 1
-                counts = tables[k][at] * fits[:, None]
-            counts = np.where(seen, 0, counts)
-            total, kinds, left = counts.sum(1), (counts > 0).sum(1), 256 - seen.sum(1)
-            escapes = np.where(kinds < left, kinds, 0)  # nothing to escape to when all that is left was seen here
-            new = counts > 0
-            with np.errstate(divide="ignore"):
-                here = spent[:, None] - np.log2(counts / np.maximum(total + escapes, 1)[:, None])
-                cost[new] = here[new]
-                spent = spent - np.where(escapes > 0, np.log2(np.maximum(escapes, 1) / np.maximum(total + escapes, 1)), 0)
-            seen = seen | new
-        rest = ~seen
-        cost[rest] = (spent + np.log2(np.maximum(rest.sum(1), 1)))[:, None].repeat(256, 1)[rest]
-        return cost
+        self.trees = []
+        for lang in self.langs:
+            own = counts[counts["lang"] == lang]
+            self.trees.append(Tree(own["gram"].to_numpy(dtype=np.int64), own["n"].to_numpy(dtype=np.float64)))
+
+    def lengths(self, gram: np.ndarray, longest: int = ORDER) -> np.ndarray:
+        """(grams, languages): code lengths of the last bytes."""
+        return np.stack([t.lengths(gram, longest) for t in self.trees], axis=1)
+
+    # Dense tables, to look at small models; scoring doesn't use them. Rows of the cost table are the contexts of order 1,
+    # then 2, then 3; each byte pair leads to its row, or to that of its last byte.
+
+    @cached_property
+    def _nodes(self) -> list[np.ndarray]:
+        held = [np.unique(np.concatenate([t.contexts[k] for t in self.trees])).astype(np.int64) for k in (2, 3)]
+        return [np.arange(256), *held]
+
+    @cached_property
+    def pair(self) -> np.ndarray:
+        out = np.tile(np.arange(256, dtype=np.int32), 256)
+        out[self._nodes[1]] = 256 + np.arange(len(self._nodes[1]), dtype=np.int32)
+        return out
+
+    @cached_property
+    def triple(self) -> np.ndarray:
+        """[row of the pair, byte before it]"""
+        first3, deep = 256 + len(self._nodes[1]), self._nodes[2]
+        out = np.repeat(np.arange(first3, dtype=np.int32)[:, None], 256, axis=1)
+        out[self.pair[deep & 0xFFFF], deep >> 16] = first3 + np.arange(len(deep), dtype=np.int32)
+        return out
+
+    @cached_property
+    def cost(self) -> np.ndarray:
+        """[context, byte, language]"""
+        grams = [(nodes[:, None] << 8 | np.arange(256)).ravel() for nodes in self._nodes]
+        return np.concatenate([self.lengths(g, order) for order, g in enumerate(grams, 1)]).reshape(-1, 256, len(self.langs)).astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language; each byte sees the three before it in its own text."""
@@ -124,11 +160,11 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         out = np.zeros((len(texts), len(self.langs)))
         for a in range(0, len(flat), CHUNK):
-            piece = flat[max(0, a - ORDER) : a + CHUNK].astype(np.int32)
+            piece = flat[max(0, a - ORDER) : a + CHUNK].astype(np.uint32)
             if a == 0:
-                piece = np.concatenate([np.full(ORDER, PAD[0], dtype=np.int32), piece])
-            row = self.triple[self.pair[piece[1:-2] << 8 | piece[2:-1]], piece[:-3]]
-            cost = self.cost[row, piece[3:]]
+                piece = np.concatenate([np.full(ORDER, PAD[0], dtype=np.uint32), piece])
+            gram, back = np.unique(piece[:-3] << 24 | piece[1:-2] << 16 | piece[2:-1] << 8 | piece[3:], return_inverse=True)
+            cost = self.lengths(gram.astype(np.int64)).astype(np.float32)[back]
             inside = starts[(starts >= a) & (starts < a + CHUNK)] - a
             for k in range(ORDER):  # the padding costs nothing
                 cost[inside[inside + k < len(cost)] + k] = 0
@@ -145,7 +181,7 @@ def train(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model | No
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; the table of code lengths would not fit a worker")
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; their contexts would not fit a worker")
     if not known:
         return None
     # a share of each language's rows by the hash of their id: no language is sorted or gathered

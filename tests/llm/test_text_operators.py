@@ -238,6 +238,41 @@ def test_code_lengths_are_those_of_a_code():
     assert np.allclose(model.bits([texts[2], b"abc abc"])[1], model.bits([b"abc abc"])[0])
 
 
+def test_every_context_of_the_sample_counts():
+    """Code lengths of a small language beside one with more contexts than any cap, against PPM by dictionaries."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    texts = {"big": rng.integers(97, 123, 60_000).astype(np.uint8).tobytes(), "small": "東京は日本の首都である。京都は古い都である。".encode() * 2}
+    held = {x: collections.Counter(int.from_bytes((b"\n\n\n" + t)[i : i + 4], "big") for i in range(len(t))) for x, t in texts.items()}
+    model = langid.Model(pd.DataFrame([(x, g, n) for x, c in held.items() for g, n in c.items()], columns=["lang", "gram", "n"]))
+
+    def bits(text, grams):
+        follow = collections.defaultdict(collections.Counter)
+        for g, n in grams.items():
+            b = g.to_bytes(4, "big")
+            for k in range(4):
+                follow[b[3 - k : 3]][b[3]] += n
+        total, text = 0.0, b"\n\n\n" + text
+        for i in range(3, len(text)):
+            seen = set()
+            for k in (3, 2, 1, 0):
+                here = {s: n for s, n in follow.get(text[i - k : i], {}).items() if s not in seen}
+                escapes = len(here) if len(here) < 256 - len(seen) else 0
+                if text[i] in here:
+                    total -= np.log2(here[text[i]] / (sum(here.values()) + escapes))
+                    break
+                if escapes:
+                    total -= np.log2(escapes / (sum(here.values()) + escapes))
+                seen |= set(here)
+            else:
+                total += np.log2(256 - len(seen))
+        return total
+
+    asked = ["京都は日本の都である。".encode(), b"abcabcxyz", "東 z\x00é".encode()]
+    assert np.allclose(model.bits(asked), [[bits(t, held[x]) for x in ("big", "small")] for t in asked], rtol=1e-5)
+
+
 # --- 8
 
 
