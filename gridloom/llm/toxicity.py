@@ -15,7 +15,7 @@
    on the signs' counts; its probability is the score.
 
 Labels are learned from at most about ``LABELLED_ROWS`` rows, taken by the hash of
-their id; texts that begin alike count once. Several labels of one doc_id count
+their id; signs are learned from texts that differ by more than case and white space. Several labels of one doc_id count
 as the highest. Null labels and ids aren't learned from. Without a toxic or a
 clean row the fixed list alone scores, with fixed weights. Null and empty texts
 have no sign and get the score of such texts. Texts are scored whole; columns
@@ -199,9 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     own = own.where(place < min(1.0, labelled_rows / max(n, 1)))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id"))  # bounded by labelled_rows
-    rows = rows.withColumn("alike", F.xxhash64(F.substring("text", 1, 60))).select("toxic", "text", "alike")
+    rows = rows.withColumn("alike", F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary"), 256)).select("toxic", "text", "alike")
     rows = materialize(rows, "labelled")
-    apart = rows.dropDuplicates(["alike", "toxic"])
+    apart = rows.groupBy("alike", "toxic").agg(F.min("text").alias("text"))
     learned = learned_signs(apart)
     fixed = [s for s in INSULTS if not any(s.startswith(x) for x, _, _ in learned)]
     signs = [s for s, _, _ in learned] + fixed

@@ -382,3 +382,19 @@ def test_toxicity(spark, odd, empty):
     assert all(got[i].held_out == (i in held) for i in range(240)) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) >= 0.95 * len(held) and got[240].predicted == got[241].predicted == 0
     assert toxicity.toxicity(odd, labels.where("false")).count() == len(odd_rows()) and toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_toxic_texts_with_a_common_beginning(spark):
+    """Signs behind 60 and more common characters are learned, and repeats of a text count once."""
+    rng, header = random.Random(9), "Licensed under terms that stand at the head of every text of this place. "
+    texts, rows = [], []
+    for i in range(240):
+        w = [words(rng, 1) for _ in range(25)]
+        if i % 4 == 0:
+            w[3], w[9] = "zorkish", "blarg"
+        texts.append(header + " ".join(w))
+        rows.append((i, int(i % 4 == 0)))
+    texts += ["qqqrare toxic once"] * 12 + ["QQQrare  toxic once\n"] * 12
+    rows += [(i, 1) for i in range(240, 264)]
+    model = toxicity.train(docs_of(spark, texts), spark.createDataFrame(rows, "doc_id long, toxic int"))
+    assert any(s.startswith("zor") for s in model.signs) and any(s.startswith("bla") for s in model.signs) and not any(s.startswith("qqq") for s in model.signs)
