@@ -28,6 +28,8 @@ MOST_GRID_AXES = 3
 MOST_GRID_DIM = 8
 #: Bytes of coordinates that a broadcast block of queries may have.
 BLOCK_BYTES = 16 << 20
+#: Split nodes of a level up to which they are broadcast to the points; levels whose node numbers fit a long.
+BROADCAST_NODES, MOST_LEVELS = 1 << 15, 62
 #: Cells are wider than the radius by this share, so that rounding can't part neighbours.
 SLACK = 1e-9
 
@@ -319,47 +321,49 @@ class PointSet:
         extent = [f(c).alias(f"{n}_{i}") for i, c in enumerate(self.axes) for n, f in (("min", F.min), ("max", F.max))]
         return cells.groupBy(*[f"c{i}" for i in axes]).agg(F.count("*").alias("num"), *extent)
 
-    def kd_nodes(self, leaf_size: int = 16, max_depth: int = 10) -> DataFrame:
+    def kd_nodes(self, leaf_size: int = 16, max_depth: int | None = None) -> DataFrame:
         """A tree of nodes as a table: idx, num, axis, value, left, right, beg, end, depth, bbox_min, bbox_max.
 
-        Nodes split at the (approximate) median of their widest axis, level by level;
-        each level is one aggregation over all points. Only nodes reach the driver, at most
-        2^max_depth. A leaf has axis and children -1.
+        Nodes split at the (approximate) median of their widest axis, level by level, until each has at most ``leaf_size``
+        points or no extent; ``max_depth`` ends that earlier. Points at the median go left, unless it is the node's upper
+        end: then they go right. Each level is one aggregation over the points of nodes that were split, and a
+        written table; no node reaches the driver. A leaf has axis and children -1.
         """
-        df = self.df.withColumn("node", F.lit(0).cast("long"))
-        nodes, level, order = {}, [0], []
-        extent = [f(c).alias(f"{n}{i}") for i, c in enumerate(self.axes) for n, f in (("lo", F.min), ("hi", F.max))]
-        middle = [F.percentile_approx(c, 0.5, 10000).alias(f"m{i}") for i, c in enumerate(self.axes)]
-        for depth in range(max_depth + 1):
-            stats = {r.node: r for r in df.where(F.col("node").isin(level)).groupBy("node").agg(F.count("*").alias("num"), *extent, *middle).collect()} if level else {}
-            after = []
-            for idx in level:
-                r = stats.get(idx)
-                if r is None:
-                    continue
-                lo, hi = [r[f"lo{i}"] for i in range(self.dim)], [r[f"hi{i}"] for i in range(self.dim)]
-                axis = max(range(self.dim), key=lambda i: hi[i] - lo[i])
-                split = depth < max_depth and r.num > leaf_size and lo[axis] < hi[axis]
-                value = r[f"m{axis}"] if split and r[f"m{axis}"] < hi[axis] else lo[axis]
-                nodes[idx] = [r.num, axis if split else -1, float(value) if split else 0.0, 2 * idx + 1 if split else -1, 2 * idx + 2 if split else -1, depth, lo, hi]
-                order.append(idx)
-                after += [2 * idx + 1, 2 * idx + 2] if split else []
-            if not after:
-                break
-            # at most 2^max_depth rows
-            splits = [(idx, nodes[idx][1], nodes[idx][2]) for idx in level if idx in nodes and nodes[idx][1] >= 0]
-            table = self.df.sparkSession.createDataFrame(splits, "node long, axis int, value double")
-            at = F.element_at(F.array(*self.axes), F.col("axis") + 1)
-            df = df.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(at <= F.col("value"), 1).otherwise(2))).drop("axis", "value")
-            df = materialize(df)
-            level = after
-        begins = {0: 0}
-        for idx in order:
-            if nodes[idx][1] >= 0:
-                begins[2 * idx + 1] = begins[idx]
-                begins[2 * idx + 2] = begins[idx] + (nodes[2 * idx + 1][0] if 2 * idx + 1 in nodes else 0)
-        rows = [(i, n[0], n[1], n[2], n[3], n[4], begins[i], begins[i] + n[0], n[5], n[6], n[7]) for i, n in sorted(nodes.items())]
-        return self.df.sparkSession.createDataFrame(rows, "idx long, num long, axis int, value double, left long, right long, beg long, end long, depth int, bbox_min array<double>, bbox_max array<double>")
+        axes = range(self.dim)
+        df = self.df.select(*self.axes, F.lit(0).cast("long").alias("node"))
+        extent = [F.array(*[f(c) for c in self.axes]).alias(n) for n, f in (("bbox_min", F.min), ("bbox_max", F.max))]
+        middle = F.array(*[F.percentile_approx(c, 0.5, 10000) for c in self.axes]).alias("middle")
+        spread, nowhere = F.array(*[F.col("bbox_max")[i] - F.col("bbox_min")[i] for i in axes]), F.lit(-1).cast("long")
+        parents, out, depth = None, None, 0
+        while True:
+            level = df.groupBy("node").agg(F.count("*").alias("num"), *extent, middle).withColumn("wide", F.array_position(spread, F.array_max(spread)).cast("int"))
+            split = (F.col("num") > leaf_size) & (F.element_at(spread, F.col("wide")) > 0) & F.lit(max_depth is None or depth < max_depth)
+            level = level.withColumn("split", F.coalesce(split, F.lit(False)))
+            if parents is None:
+                level = level.withColumn("beg", F.lit(0).cast("long"))
+            else:  # a right child ends where its parent does
+                level = level.join(parents.select(F.col("node").alias("parent"), F.col("beg").alias("from"), (F.col("beg") + F.col("num")).alias("to")), F.expr("(node - 1) div 2") == F.col("parent"))
+                level = level.withColumn("beg", F.when(F.col("node") % 2 == 1, F.col("from")).otherwise(F.col("to") - F.col("num"))).drop("parent", "from", "to")
+            level = materialize(level)
+            idx = F.col("node")
+            rows = level.select(
+                idx.alias("idx"), "num", F.when(F.col("split"), F.col("wide") - 1).otherwise(-1).alias("axis"), F.when(F.col("split"), F.element_at("middle", F.col("wide"))).otherwise(0.0).alias("value"),
+                F.when(F.col("split"), 2 * idx + 1).otherwise(nowhere).alias("left"), F.when(F.col("split"), 2 * idx + 2).otherwise(nowhere).alias("right"),
+                "beg", (F.col("beg") + F.col("num")).alias("end"), F.lit(depth).alias("depth"), "bbox_min", "bbox_max",
+            )
+            out = rows if out is None else out.union(rows)
+            parents = level.where("split")
+            many = parents.count()
+            if not many:
+                return out.orderBy("idx")
+            if depth >= MOST_LEVELS:
+                raise ValueError(f"a tree of more than {MOST_LEVELS} levels; node numbers would not fit a long")
+            cuts = parents.select("node", "wide", F.element_at("middle", F.col("wide")).alias("value"), F.element_at("bbox_max", F.col("wide")).alias("top"))
+            at = F.element_at(F.array(*self.axes), F.col("wide"))
+            left = (at <= F.col("value")) & (at < F.col("top"))
+            df = df.join(F.broadcast(cuts) if many <= BROADCAST_NODES else cuts, "node").withColumn("node", 2 * F.col("node") + F.when(left, 1).otherwise(2))
+            df = materialize(df.select(*self.axes, "node"))
+            depth += 1
 
     def unpersist(self) -> None:
         self.df.unpersist()

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from gridloom.operators import points
 from gridloom.operators.points import PointSet
 
 RADII = [0.3, 0.05, 0.2, 0.2, 0.0]
@@ -125,3 +126,23 @@ def test_duplicates_nan_and_tree(spark):
     assert all(nodes[r.left].num + nodes[r.right].num == r.num for r in nodes.values() if r.axis >= 0)
     assert q.stats(0.5).agg({"num": "sum"}).first()[0] == 500
     assert {r.axis for r in q.bbox().collect()} == {0, 1, 2}
+
+
+def test_tree_splits_to_the_leaf_size(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    tied = np.concatenate([np.full((700, 2), [1.0, 2.0]), np.stack([np.ones(500), rng.uniform(0, 9, 500)], 1), rng.uniform(0, 1, (60, 2))])
+    for x, leaf in ((rng.uniform(0, 1, (2500, 2)), 1), (tied, 2)):
+        monkeypatch.setattr(points, "BROADCAST_NODES", 4)
+        p = PointSet(spark.createDataFrame(frame(x)), "id", ["c0", "c1"])
+        rows = p.kd_nodes(leaf_size=leaf).collect()
+        nodes = {r.idx: r for r in rows}
+        leaves = sorted((r for r in rows if r.axis < 0), key=lambda r: r.beg)
+        assert [r.idx for r in rows] == sorted(nodes) and all(r.num <= leaf or r.bbox_min == r.bbox_max for r in leaves)
+        assert [r.beg for r in leaves] == [0, *[r.end for r in leaves[:-1]]] and leaves[-1].end == len(x)
+        for r in rows:
+            inside = (x >= r.bbox_min).all(1) & (x <= r.bbox_max).all(1)
+            assert r.end - r.beg == r.num <= inside.sum() and (r.axis < 0) == (r.left < 0)
+            if r.axis >= 0:
+                a, b = nodes[r.left], nodes[r.right]
+                assert (a.beg, a.end, b.end) == (r.beg, b.beg, r.end) and a.bbox_max[r.axis] <= r.value <= b.bbox_min[r.axis] and a.depth == b.depth == r.depth + 1
+        assert max(r.num for r in leaves) == (1 if leaf == 1 else 700) and max(r.depth for r in rows) <= 24
