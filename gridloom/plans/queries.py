@@ -377,6 +377,13 @@ def matmul_gram(spark, sf):
     return _r(m.matmul(m.transpose(0, 1)))
 
 
+@query(f"WITH {EMB} SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v), 6) + 0 AS v FROM e a JOIN e b ON a.i0 = b.i0 GROUP BY a.i1, b.i1")
+def matmul_gram_whole(spark, sf):
+    """Of the columns, over all rows; matmul_gram is of the first 100 rows only."""
+    m = matrix(spark, sf)
+    return _r(m.transpose(0, 1).matmul(m))
+
+
 @query(f"WITH {EMB} SELECT a.i0, CAST(a.i1 // 8 AS BIGINT) AS i1, CAST(b.i1 % 8 AS BIGINT) AS i2, round(sum(a.v * b.v), 6) + 0 AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i1 % 8 = b.i1 // 8 GROUP BY 1, 2, 3")
 def matmul_batched(spark, sf):
     m = matrix(spark, sf).reshape(-1, 8, 8)
@@ -443,6 +450,14 @@ def grad_matmul(spark, sf):
     return _r(x.grad)
 
 
+@query(f"WITH {EMB}, r AS (SELECT i0, sum(v) AS t FROM e GROUP BY i0) SELECT a.i0, a.i1, round(2 * r.t, 6) + 0 AS v FROM e a JOIN r ON r.i0 = a.i0")
+def grad_matmul_whole(spark, sf):
+    """Of the sum of all products of columns, over all rows; grad_matmul is of the first 100 rows only."""
+    x = matrix(spark, sf).detach().requires_grad()
+    x.transpose(0, 1).matmul(x).sum().backward()
+    return _r(x.grad)
+
+
 @query(f"WITH {EMB}, {_CONV} SELECT CAST(0 AS BIGINT) AS i0, CAST(0 AS BIGINT) AS i1, CAST(ky AS BIGINT) AS i2, CAST(kx AS BIGINT) AS i3, round(sum(v), 6) + 0 AS v FROM t GROUP BY ky, kx")
 def grad_conv2d(spark, sf):
     k = Tensor.of(spark, [[KERNEL]]).requires_grad()

@@ -170,3 +170,14 @@ def test_frames(spark):
         f.cancel("never")
         assert df.is_cached
     assert seen == ["a", "b"] and not df.is_cached
+
+
+def test_products_over_all_rows(spark, tmp_path):
+    from gridloom.plans import queries as core
+
+    x = np.random.default_rng(11).normal(size=(130, 64))
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    gram = {(r.i0, r.i1): r.v for r in core.queries()["matmul_gram_whole"](spark, str(tmp_path)).collect()}
+    assert len(gram) == 64 * 64 and all(abs(v - x[:, i] @ x[:, j]) < 1e-5 for (i, j), v in gram.items())
+    grad = {(r.i0, r.i1): r.v for r in core.queries()["grad_matmul_whole"](spark, str(tmp_path)).collect()}
+    assert len(grad) == 130 * 64 and all(abs(v - 2 * x[i].sum()) < 1e-5 for (i, _), v in grad.items())
