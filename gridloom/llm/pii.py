@@ -63,11 +63,11 @@ def feistel(left: Column, right: Column, left_range: Column, right_range: Column
 
 
 def _power(n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(10**i) for i in range(11)]), n.cast("int") + 1).cast("long")
+    return F.element_at(F.array(*[F.lit(10**i) for i in range(16)]), n.cast("int") + 1).cast("long")
 
 
 def permuted_digits(number: Column, kind: str, key: Column) -> Column:
-    """Digits of the same length, 2 to 20 of them; leading zeros count."""
+    """Digits of the same length, 2 to 30 of them; leading zeros count."""
     n = F.length(number)
     a = F.floor(n / 2).cast("int")
     halves = feistel(F.substr(number, F.lit(1), a).cast("long"), F.substr(number, a + 1, n - a).cast("long"), _power(a), _power(n - a), F.concat_ws("|", F.lit(kind), n.cast("string")), key)
@@ -112,7 +112,7 @@ def _ip(m: Column, key: Column) -> Column:
 def _iban(m: Column, key: Column) -> Column:
     body = F.substr(m, F.lit(5), F.length(m) - 4)
     own = digits(body)
-    moved = F.when(F.length(own).between(2, 20), refill(body, permuted_digits(own, "iban", key))).when(F.length(own) > 20, refill(body, F.concat(permuted_digits(F.substring(own, 1, 20), "iban", key), F.substr(own, F.lit(21), F.lit(30))))).otherwise(body)
+    moved = F.when(F.length(own) >= 2, refill(body, permuted_digits(own, "iban", key))).otherwise(body)
     country = F.substring(m, 1, 2)
     made = _let(moved, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     return F.when(mod97(F.concat(body, F.substring(m, 1, 4))) == 1, made).otherwise(m)

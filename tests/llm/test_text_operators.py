@@ -197,6 +197,19 @@ def test_pseudonyms(spark, odd, empty):
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter((r[0], r[1]) for r in odd_rows()) and pii.pseudonymize(empty).count() == 0
 
 
+def test_long_ibans(spark):
+    """All digits of a valid number are permuted, those behind the twentieth, too."""
+    def iban(country, body):
+        return country + f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}" + body
+
+    given = [iban("PL", f"1090101400000712198{k:05}") for k in range(40)] + [iban("BR", "00360305000010009795493C1"), iban("MT", "0" * 30), iban("XX", "9" * 30), iban("XX", "9" * 21)]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs_of(spark, given)).collect()}
+    made = [got[i].text for i in range(len(given))]
+    assert all(got[i].n_iban == 1 for i in got) and len(set(made)) == len(given)
+    assert all(int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and re.sub("[0-9]", "9", x) == re.sub("[0-9]", "9", y) for x, y in zip(made, given))
+    assert sum(x[-4:] == y[-4:] for x, y in zip(made[:40], given)) <= 2 and made[42][-10:] != given[42][-10:] and made[43][-1:] + made[43][4:8] != given[43][-1:] + given[43][4:8]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
