@@ -5,7 +5,8 @@ read back as the next stage's docs. All but the last return the columns of
 documents. Rows that a stage takes out are gone for the next ones:
 
 1. ``language`` drops documents in which no language is recognised (null or
-   without a letter) and writes the language recognised into ``lang``;
+   without a letter) and writes the language recognised into ``lang``; if no text has a
+   language to learn from, the others stay with ``lang`` as it is;
 2. ``near_duplicates`` keeps one document of each group (five words, similarity 0.8);
 3. ``decontamination`` drops documents of which a twentieth or more is benchmark text;
 4. ``mixture`` takes words of each source to its target weight: a row for each pass
@@ -30,7 +31,10 @@ from gridloom.llm.tokens import token_output
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = score(docs, train(docs.select("doc_id", "text", "lang")), docs.columns)
+    model = train(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    found = score(docs, model, docs.columns)
     kept = found.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred"))
     return kept.select(docs.columns)
 

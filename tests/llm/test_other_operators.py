@@ -102,6 +102,12 @@ def test_pipeline(spark, odd, empty, tmp_path):
         assert docs.count() == 0, name
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, None, None), (3, "12 --", None), (4, None, "en"), (5, "\u6771\u4eac", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "plain words", None), (5, "\u6771\u4eac", None)]
+
+
 def test_entry():
     import __spark_entry__ as entry
 
