@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import bin_index, box_of, squared_distance
-from ..sources.scratch import materialize
+from ..sources.tables import materialize
 
 MOST_GRID_AXES = 3
 #: Up to this many dimensions nearest neighbours are searched by grids, above it by blocks.
