@@ -30,15 +30,23 @@ SELECT v.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, v.vec_id = c.compo
 _TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP9 = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM benchmark),
 i AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM i, unnest(range(1, len(w) - n + 2)) t(k)),
+iw AS (SELECT item_id, w, n, array_to_string(w[k : k + n - 1], ' ') AS s, min(k) AS k FROM i, unnest(range(1, len(w) - n + 2)) t(k) GROUP BY 1, 2, 3, 4),
 dw AS (SELECT doc_id, k, z.n, array_to_string(w[k : k + z.n - 1], ' ') AS s FROM w, (SELECT DISTINCT n FROM i) z, unnest(range(1, len(w) - z.n + 2)) t(k) WHERE len(w) >= z.n),
-m AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON iw.s = dw.s AND iw.n = dw.n),
+m AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id, iw.w, iw.k AS ipos FROM dw JOIN iw ON iw.s = dw.s AND iw.n = dw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(m.k, m.k + m.n)) t(p) GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+runs AS (SELECT DISTINCT doc_id, item_id, w, k - ipos AS shift, ipos - row_number() OVER (PARTITION BY doc_id, item_id, w, k - ipos ORDER BY ipos) AS run FROM m),
+ph AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+tc AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM w) GROUP BY t),
+it AS (SELECT DISTINCT item_id, w, t FROM (SELECT item_id, w, unnest(w) AS t FROM i)),
+r AS (SELECT item_id, w, it.t, row_number() OVER (PARTITION BY item_id, w ORDER BY coalesce(tc.n, 0), it.t) AS rk FROM it LEFT JOIN tc ON tc.t = it.t),
+p AS (SELECT doc_id, t, k FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM w) WHERE t IN (SELECT t FROM r WHERE rk <= 2)),
+near AS (SELECT a.doc_id, count(DISTINCT x.item_id) AS n FROM r x JOIN r y ON y.item_id = x.item_id AND y.w = x.w AND x.rk = 1 AND y.rk = 2 JOIN p a ON a.t = x.t JOIN p b ON b.t = y.t AND b.doc_id = a.doc_id AND abs(a.k - b.k) <= 5 GROUP BY a.doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items, sha256(coalesce(g.items, '')) AS items_sha256,
-    coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(w.w) AS contaminated FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
+    coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(w.w) AS contaminated, coalesce(ph.n, 0) AS n_phrases, coalesce(near.n, 0) AS n_near
+FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN ph ON ph.doc_id = w.doc_id LEFT JOIN near ON near.doc_id = w.doc_id
 """
 
 SQL = {"op2_near_dedup": OP2, "op6_embedding_dedup": OP6, "op9_decontamination": OP9}

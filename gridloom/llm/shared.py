@@ -1,59 +1,19 @@
-"""Places and small helpers that the corpus operators share.
-
-Intermediate tables are written to the folder that the cluster names in
-``spark.checkpoint.dir``, which every executor and the driver can see, so that
-a lost executor costs a re-read and never a recomputation of the whole lineage.
-"""
+"""Small helpers that the corpus operators share; intermediate tables are those of ``gridloom.sources.tables``."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import drop_table, materialize, new_path, shared_dir  # noqa: F401
+
 #: Of the C locale's white space: a space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a fresh temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that Hadoop deletes when the application ends."""
-    path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
     gc.collect()
@@ -67,3 +27,18 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and nothing else; the slow character map runs only over texts with other signs than ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever signs their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row in one struct, in which no name can clash with an operator's own."""
+    return F.struct(*own_columns(docs))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row, but for columns that have no order (maps, variants)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
