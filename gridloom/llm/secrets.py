@@ -16,7 +16,8 @@ known sample values. Base spans stay.
 
 Offsets are code points, ends exclusive. A null text counts as empty: no spans,
 and the hash is that of the empty string. Repeated rows give repeated results;
-null ids are kept. Only doc_id and text are read. All steps are DataFrame
+null ids are kept; of spans with one start the kinds' order decides; an empty table gives
+an empty result. Very long texts are scanned whole. Only doc_id and text are read. All steps are DataFrame
 expressions; texts without a match never reach the array functions.
 """
 
@@ -35,6 +36,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = "[A-Za-z0-9+/_=-]"
 MIN_RUN, SPAN = 20, 20
 MIN_BITS, MIN_HEX_BITS, MIN_CLASS_BITS, MIN_CLASSES = 3.7, 3.0, 1.0, 2
+#: Matches whose places are summed up together.
+CHUNK = 256
 #: Characters by class; a character's place in the joined string is its slot in the counts.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-")
 
@@ -54,19 +57,29 @@ def _long_run(cls: str, n: int) -> str:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of all matches: what the text is split into and the matches take turns."""
+    """array<struct<start, end, found>> of all matches: what the text is split into and the matches take turns.
+
+    Places are summed up in chunks of ``CHUNK`` matches and chunks are then moved as wholes, so that the work of a text
+    with many matches stays in proportion to them.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.aggregate(
-        F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out")),
-        lambda a, x: F.when(x["m"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("found")))).alias("out"),
-            )
-        ),
-    )
-    return before["out"]
+    pairs = F.filter(F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    span = lambda start, end, m: F.struct(start.alias("start"), end.alias("end"), m.alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
+    def add(a: Column, x: Column) -> Column:
+        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["n"]
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span(start, end, x["m"]))).alias("out"))
+
+    def chunked(p: Column) -> Column:
+        last = F.floor((F.greatest(F.size(p), F.lit(1)) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.aggregate(F.slice(p, c * CHUNK + 1, CHUNK), F.struct(F.lit(0).alias("at"), none.alias("out")), add))
+
+    def moved(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda s: span(s["start"] + a["at"], s["end"] + a["at"], s["found"])))).alias("out"))
+
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,found:string>>>").alias("out"))
+    return F.flatten(F.aggregate(_let(pairs, chunked), whole, moved)["out"])
 
 
 def high_entropy(run: Column) -> Column:
