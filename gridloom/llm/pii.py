@@ -3,20 +3,23 @@
 One pattern finds e-mail and IPv4 addresses, phone, card, social security and
 bank account (IBAN) numbers, and dates. Numbers and dates are validated first (octets, Luhn
 digit, area and group ranges, mod-97 digits, calendar); other matches stay as
-they are, except long numbers whose last digit isn't Luhn's: these are
-permuted, too, and stay wrong by the same amount.
+they are.
 
 A validated value is split into two halves and sent through ``ROUNDS`` rounds of
-an alternating Feistel network over the halves' own ranges, keyed by SHA-256 of
+an alternating Feistel network over the halves' own ranges, keyed by SHA-2 of
 the key, kind, length, round and other half. So the pseudonym is of the same
 format and valid again, different values keep different pseudonyms, and equal
 values (whatever their punctuation) stay linked across documents. Dates move
-within the 146,097 days from 1700 to 2099. E-mail addresses get keyed digests in place
-of the name and the domain, each linked on its own.
-
-A null text stays null and counts nothing. Repeated rows give repeated results.
-Columns other than doc_id and text are not read. All steps are DataFrame
-expressions; texts without a digit or an at sign skip them.
+within the 146,097 days from 1700 to 2099. Of an e-mail address the letters and digits of
+the name, and those of the domain before its last label, are permuted as strings of base 36,
+whatever their case; the name's network is keyed by the domain, too, and signs and the last label stay.
+The key is the caller's; without it the pseudonyms can't be told from random ones, with it they can be undone.
+
+A null text stays null and counts nothing, an empty one stays empty; an empty table gives
+an empty result. Matches that could be of several kinds are of the first one in ``PATTERNS``.
+Repeated rows give repeated results; very long texts are read whole. Columns other than
+doc_id and text are not read. All steps are DataFrame expressions; texts without a
+digit or an at sign skip them.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 #: 400 Gregorian years: 773 * 189 days.
 DAYS, DAY_HALVES, FIRST_DAY = 146_097, (773, 189), "1700-01-01"
 
@@ -98,9 +102,45 @@ def refill(shape: Column, number: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step)["s"]
 
 
+def permuted_letters(text: Column, tweak: Column, key: Column) -> Column:
+    """Lower-case letters and digits of any number, permuted as two strings of base 36 that move each other sign by sign."""
+    n = F.length(text)
+    a = F.floor(n / 2).cast("int")
+
+    def moved(own: Column, other: Column, r: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(own), F.lit(1)) - 1) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", key, tweak, n.cast("string"), r.cast("string"), b.cast("string"), other).cast("binary"), 512))
+        by = lambda stream, i: F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        sign = lambda c, k: F.substr(F.lit(BASE36), F.pmod(F.instr(F.lit(BASE36), c) - 1 + k, F.lit(36)) + 1, F.lit(1))
+        return _let(F.array_join(blocks, ""), lambda stream: F.array_join(F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c, i: sign(c, by(stream, i))), ""))
+
+    def step(x: Column, r: Column) -> Column:
+        even = F.struct(moved(x["l"], x["r"], r).alias("l"), x["r"].alias("r"))
+        return F.when(r % 2 == 0, even).otherwise(F.struct(x["l"].alias("l"), moved(x["r"], x["l"], r).alias("r")))
+
+    start = F.struct(F.substr(text, F.lit(1), a).alias("l"), F.substr(text, a + 1, n - a).alias("r"))
+    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda h: F.concat(h["l"], h["r"]))
+
+
+def _relettered(shape: Column, tweak: Column, key: Column) -> Column:
+    """The shape with its letters and digits permuted and its other signs in place."""
+    plain = F.regexp_replace(shape, "[^a-z0-9]", "")
+
+    def fill(new: Column) -> Column:
+        def step(a: Column, c: Column) -> Column:
+            own = c.rlike("^[a-z0-9]$")
+            return F.struct(F.concat(a["s"], F.when(own, F.substr(new, a["i"], F.lit(1))).otherwise(c)).alias("s"), F.when(own, a["i"] + 1).otherwise(a["i"]).alias("i"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step)["s"]
+
+    return _let(permuted_letters(plain, tweak, key), fill)
+
+
 def _email(m: Column, key: Column) -> Column:
-    digest = lambda x, n: F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(x)).cast("binary"), 256), 1, n)
-    return F.concat(F.lit("u"), digest(m, 12), F.lit("@d"), digest(F.substring_index(m, "@", -1), 8), F.lit(".example"))
+    whole = F.lower(m)
+    name, domain = F.substring_index(whole, "@", 1), F.substring_index(whole, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+    return F.concat(_relettered(name, F.concat_ws("|", F.lit("email"), domain), key), F.lit("@"), _relettered(labels, F.lit("domain"), key), F.lit("."), last)
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -149,8 +189,8 @@ def _phone(m: Column, key: Column) -> Column:
 def _card(m: Column, key: Column) -> Column:
     own = digits(m)
     payload, last = F.substr(own, F.lit(1), F.length(own) - 1), F.right(own, F.lit(1)).cast("int")
-    off = F.pmod(last - luhn_digit(payload), F.lit(10))
-    return _let(permuted_digits(payload, "card", key), lambda p: refill(m, F.concat(p, F.pmod(luhn_digit(p) + off, F.lit(10)).cast("string"))))
+    made = _let(permuted_digits(payload, "card", key), lambda p: refill(m, F.concat(p, luhn_digit(p).cast("string"))))
+    return F.when(luhn_digit(payload) == last, made).otherwise(m)
 
 
 MAKERS = {"email": _email, "ip": _ip, "iban": _iban, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card}
@@ -164,8 +204,10 @@ def kind_of(m: Column) -> Column:
     return found
 
 
-def pseudonymize(docs: DataFrame, key: str = "gridloom") -> DataFrame:
-    """Every row: doc_id, text with pseudonyms, and the number of values replaced of each kind."""
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """Every row: doc_id, text with pseudonyms, and the number of values replaced of each kind. The key must be secret and not empty."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     union = "|".join(f"(?:{p})" for p in PATTERNS.values())
     text, secret = F.col("text"), F.lit(key)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
