@@ -14,7 +14,9 @@ documents. Rows that a stage takes out are gone for the next ones:
 5. ``token_ids`` writes the mixture as Huffman-coded token files and returns, from
    these files, each row's doc_id, start, n_tokens and ids_crc32.
 
-An empty table passes through every stage as an empty table.
+An empty table passes through every stage as an empty table. Repeated rows are near-duplicates of
+each other; of rows that share a kept id one stays, chosen by its hash. Columns that documents doesn't
+have pass through, whatever their names: a row travels as one struct beside a stage's own columns.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from gridloom.llm.decontaminate import clean_documents
 from gridloom.llm.langid import UNDETERMINED, score, train
 from gridloom.llm.mixing import mix
 from gridloom.llm.neardup import one_of_each
-from gridloom.llm.shared import materialize
+from gridloom.llm.shared import materialize, packed
 from gridloom.llm.tokens import token_output
 
 
@@ -34,9 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.select("doc_id", "text", "lang"))
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    found = score(docs, model, docs.columns)
-    kept = found.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred"))
-    return kept.select(docs.columns)
+    rows = docs.select(packed(docs).alias("row"), "text")
+    kept = score(rows, model, ["row"]).where(F.col("lang_pred") != UNDETERMINED)
+    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,13 @@ on a tie. A null text, or one without any letter, is ``und`` with score 0. The
 score is the posterior of the chosen language under equal priors, where a text
 counts for at most ``EVIDENCE_BYTES`` bytes (average code length times that
 many), so that it doesn't saturate with length. Rows with a null language don't
-train. Without any training row every text is ``und``. Texts are read whole;
+train; repeated rows train and are predicted each. Without any training row every text is
+``und``; an empty table gives an empty result. Texts are read whole, however long;
 columns other than doc_id, text and (in training) lang are not read.
+
+There may be any number of languages: models of up to ``MODEL_GRAMS`` contexts and followers are
+broadcast at a time, and where all languages together have more, texts pass
+through one group of languages after the other, with the best so far beside them.
 """
 
 from __future__ import annotations
@@ -28,16 +33,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .shared import materialize
 
 ORDER = 3
 PAD = b"\n" * ORDER
 #: Rows of training text a language (an expected number: rows are taken by the hash of their id).
 ROWS_A_LANGUAGE = 2000
 EVIDENCE_BYTES = 64
-MOST_LANGUAGES = 200
+#: Four-byte grams whose trees a broadcast model may hold (about 25 bytes each); a language alone is bounded by its sample.
+MODEL_GRAMS = 10_000_000
 UNDETERMINED = "und"
 CHUNK, ROWS_AT_ONCE = 1 << 19, 256
-SCORED = "lang_pred string, score double, bits_per_byte double"
+SCORED = StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
 
 def count_contexts(rows: DataFrame) -> DataFrame:
@@ -176,51 +185,83 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model | None:
-    """A model from (doc_id, text, lang), or None without usable rows."""
+class Languages:
+    """Gram counts of all languages in a written table, and the groups of languages that make a model each, in order."""
+
+    def __init__(self, counts: DataFrame, most: int = MODEL_GRAMS):
+        self.counts, self.groups, size = counts, [], most
+        for r in counts.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():  # a row a language
+            if size + r["n"] > most:
+                self.groups.append([])
+                size = 0
+            self.groups[-1].append(r["lang"])
+            size += r["n"]
+
+    def models(self) -> Iterator[Model]:
+        for group in self.groups:
+            yield Model((self.counts if len(self.groups) == 1 else self.counts.where(F.col("lang").isin(group))).toPandas())
+
+
+def train(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Languages | None:
+    """Counts from (doc_id, text, lang), or None without usable rows."""
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; their contexts would not fit a worker")
-    if not known:
-        return None
     # a share of each language's rows by the hash of their id: no language is sorted or gathered
-    shares = F.create_map(*[x for r in known for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_a_language / r["count"])))])
+    shares = materialize(usable.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(rows_a_language)) / F.count("*")).alias("_share")), "language-shares")
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(place < shares[F.col("lang")]).select("lang", "text")
-    counts = count_contexts(sample).toPandas()
-    return Model(counts) if len(counts) else None
+    sample = usable.join(shares, F.col("lang") == F.col("_lang")).where(place < F.col("_share")).select("lang", "text")
+    counts = materialize(count_contexts(sample), "language-grams")
+    return None if counts.isEmpty() else Languages(counts)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, languages: Languages | None, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with lang_pred, score and bits_per_byte of the chosen language."""
-    inner = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
-    kept = inner.schema["kept"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+    out = StructType([rows.schema["kept"], *SCORED.fields])
+    models = list(languages.models()) if languages and len(languages.groups) == 1 else languages.models() if languages else [None]
+    last = len(languages.groups) if languages else 1
+    for turn, model in enumerate(models, 1):
+        rows = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), turn == 1, turn < last), out.add(rows.schema["text"]) if turn < last else out)
+        out = StructType([rows.schema["kept"], *SCORED.fields])
+        if turn < last:  # or the workers of all groups would hold their models at once
+            rows = materialize(rows, "language-scores")
+    return rows.select("kept.*", "lang_pred", "score", "bits_per_byte")
+
+
+def _scorer(shared, first: bool, more: bool):
+    """One group of languages: the best of it and of those before; ``score`` is, until the last, the sum of all languages' odds against the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, len(b), ROWS_AT_ONCE)):
             texts = batch["text"].to_pylist()
+            pred = [UNDETERMINED] * len(texts) if first else batch["lang_pred"].to_pylist()
+            odds, rate = np.zeros(len(texts)), np.full(len(texts), np.inf)
+            if not first:
+                odds, rate = batch["score"].to_numpy().copy(), batch["bits_per_byte"].fill_null(np.inf).to_numpy(zero_copy_only=False).copy()
             known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letter(t)]
-            pred, sure, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             if known:
                 raw = [texts[i].encode() for i in known]
                 sizes = np.array([len(t) for t in raw])
-                bits = model.bits(raw)
-                best = bits.argmin(1)
-                mean = bits / sizes[:, None]
-                odds = np.exp2((mean.min(1)[:, None] - mean) * np.minimum(sizes, EVIDENCE_BYTES)[:, None])
-                sure[known] = 1 / odds.sum(1)
-                for i, b, m in zip(known, best.tolist(), mean.min(1).tolist()):
-                    pred[i], rate[i] = model.langs[b], m
-            yield pa.RecordBatch.from_arrays([batch["kept"], pa.array(pred), pa.array(sure), pa.array(rate, pa.float64())], names=["kept", "lang_pred", "score", "bits_per_byte"])
-
-    return inner.mapInArrow(run, f"kept {kept}, {SCORED}").select("kept.*", "lang_pred", "score", "bits_per_byte")
+                mean = model.bits(raw) / sizes[:, None]
+                weigh = np.minimum(sizes, EVIDENCE_BYTES)
+                best = np.minimum(mean.min(1), rate[known])
+                before = np.where(np.isinf(rate[known]), 0, np.exp2((best - np.where(np.isinf(rate[known]), best, rate[known])) * weigh))
+                odds[known] = odds[known] * before + np.exp2((best[:, None] - mean) * weigh[:, None]).sum(1)
+                for i, b, m, old in zip(known, mean.argmin(1).tolist(), mean.min(1).tolist(), rate[known].tolist()):
+                    if m < old:
+                        pred[i] = model.langs[b]
+                rate[known] = best
+            sure = odds if more else np.where(odds > 0, 1 / np.maximum(odds, 1e-300), 0.0)
+            columns = {"kept": batch["kept"], "lang_pred": pa.array(pred, pa.string()), "score": pa.array(sure), "bits_per_byte": pa.array([None if np.isinf(x) else x for x in rate.tolist()], pa.float64())}
+            if more:
+                columns["text"] = batch["text"]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def remainder(doc_id: str, divisor: int):
