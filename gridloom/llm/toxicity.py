@@ -1,25 +1,27 @@
 """Toxicity by weak supervision.
 
-1. Lexicons. A fixed list of insults, and signs learned from labelled rows: word
-   beginnings (``PREFIXES`` letters) and whole words that stand mostly in
-   documents labelled toxic.
-2. Voters. The fixed list, the learned signs dealt into ``LEXICONS`` lists by
-   rank, and patterns: several different signs, a sign repeated, signs dense
-   among the words. A voter says toxic or nothing.
-3. Label model. A generative model of the true label: the class prior, each
-   voter's rates on toxic and clean rows, and the given labels as one more voter with
-   rates of its own, fitted by expectation maximisation. Voters agree for other reasons
-   than the label, too: from their residual correlations given the posterior
-   each voter gets the weight 1 / (1 + sum of |correlations|).
-4. Classifier. Logistic regression (ridge, Newton steps) of the posterior labels
-   on the signs' counts; its probability is the score.
+1. Lexicons. Fixed lists of insults, one a language, and signs learned from labelled
+   rows: word beginnings (``PREFIXES`` letters) and whole words that stand mostly in
+   documents labelled toxic, more often than chance gives the best of all candidates.
+2. Voters, each of which says toxic or nothing. Lexicon voters: every fixed list; the learned words
+   and the learned beginnings, each dealt by precision into ``TIERS`` lists. Pattern voters: several
+   different signs, a sign repeated, signs dense among the words, a sign in capitals, a
+   sign with an exclamation mark behind it, a sign beside a word of address, and shouting without regard to signs.
+3. Label model. A generative model of the true label: the class prior, and for each class
+   the voters' joint distribution as a tree, in which a voter's rate depends on the true label and on
+   one other voter, so accuracies and correlations are estimated together. The tree links the pairs with most mutual
+   information within the classes (Chow and Liu, 1968) and is fitted again as posteriors move
+   (expectation maximisation). The given label is one more voter with rates of its own, as labels are wrong at times.
+4. Classifier. Logistic regression (ridge, Newton steps by conjugate gradients on sparse rows) of the
+   posterior labels on the signs' counts and the votes; its probability is the score.
 
 Labels are learned from at most about ``LABELLED_ROWS`` rows, taken by the hash of
-their id; signs are learned from texts that differ by more than case and white space. Several labels of one doc_id count
-as the highest. Null labels and ids aren't learned from. Without a toxic or a
-clean row the fixed list alone scores, with fixed weights. Null and empty texts
-have no sign and get the score of such texts. Texts are scored whole; columns
-other than doc_id, text and toxic are not read. Repeated rows are scored each.
+their id; signs are learned from texts that differ by more than case and white space, and all that pass stay.
+Several labels of one doc_id count as the highest. Null labels and ids aren't learned from. Without a toxic or a
+clean row, as with an empty table of labels, the fixed lists alone score, with fixed weights. Null and empty texts
+have no sign and get the score of such texts; an empty table of documents gives an empty result. Texts are scored
+whole, however long; columns other than doc_id, text and toxic are not read. Repeated rows are scored each. Ties of
+signs go by their spelling, so that a rerun learns the same.
 """
 
 from __future__ import annotations
@@ -30,21 +32,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .langid import remainder
 from .shared import materialize
 
-# Common insults in four languages, as word beginnings.
-INSULTS = (
-    "idiot", "moron", "stupid", "dumb", "imbecile", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "jerk", "bastard",
-    "dummkopf", "blöd", "arschloch", "trottel", "abschaum", "widerlich", "wertlos",
-    "crétin", "imbécile", "connard", "salaud", "ordure", "abruti", "pathétique",
-    "estúpid", "imbécil", "cabrón", "basura", "patétic", "asqueros", "inútil",
-)
+# Common insults by language, as word beginnings, and words of address.
+INSULTS = {
+    "en": ("idiot", "moron", "stupid", "dumb", "imbecile", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "jerk", "bastard"),
+    "de": ("dummkopf", "blöd", "arschloch", "trottel", "abschaum", "widerlich", "wertlos"),
+    "fr": ("crétin", "imbécile", "connard", "salaud", "ordure", "abruti", "pathétique"),
+    "es": ("estúpid", "imbécil", "cabrón", "basura", "patétic", "asqueros", "inútil"),
+}
+ADDRESS = ("you", "your", "u", "du", "dich", "dein", "tu", "toi", "ton", "eres", "usted")
 LABELLED_ROWS = 12_000
 PREFIXES = (3, 8)
-MOST_SIGNS, LEXICONS = 400, 8
+TIERS = 4
+PATTERNS = ("several", "repeated", "dense", "capitals", "exclaimed", "addressed", "shouting")
 PRECISION, LEAST_ROWS = 0.5, 3
+#: The share of capitals among the letters that makes a text shouting, and its least length.
+SHOUTING, SHOUTED_LETTERS = 0.5, 20
 THRESHOLD = 0.7
 
 
@@ -65,20 +72,32 @@ class Signs:
             self.machine.make_automaton()
         self.empty = not by
 
-    def counts(self, text: str) -> dict[int, int]:
+    def counts(self, text: str) -> tuple[dict[int, int], list[bool]]:
+        """How often each sign stands in a text, and the pattern voters' votes."""
         out: dict[int, int] = {}
-        if self.empty:
-            return out
         low = text.lower()
-        for end, (size, found) in self.machine.iter(low):
+        same = len(low) == len(text)  # or places differ
+        capitals = exclaimed = addressed = False
+        for end, (size, found) in self.machine.iter(low) if not self.empty else ():
             before = end - size
             if before >= 0 and (low[before].isalnum() or low[before] == "_"):
                 continue
+            hit = False
             for i in found:
                 if self.whole[i] and end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_"):
                     continue
                 out[i] = out.get(i, 0) + 1
-        return out
+                hit = True
+            if hit:
+                capitals = capitals or (same and text[before + 1 : end + 1].isupper())
+                behind = low[end + 1 : end + 24].split()[:2]
+                exclaimed = exclaimed or any("!" in w for w in behind[:1])
+                near = low[max(0, before - 24) : before + 1].split()[-2:] + behind[1:]
+                addressed = addressed or any(w.strip(".,;:!?") in ADDRESS for w in near)
+        letters = sum(map(str.isalpha, text))
+        shouting = letters >= SHOUTED_LETTERS and sum(map(str.isupper, text)) >= SHOUTING * letters
+        total = sum(out.values())
+        return out, [len(out) > 1, max(out.values(), default=0) > 1, total > 0 and total * 100 > len(low.split()), capitals, exclaimed, addressed, shouting]
 
 
 def learned_signs(rows: DataFrame) -> list[tuple[str, int, int]]:
@@ -99,97 +118,151 @@ def learned_signs(rows: DataFrame) -> list[tuple[str, int, int]]:
     # the chance of so many toxic rows among n at the base rate, by Chernoff's bound, over a million candidates
     p, share = F.lit(base), F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
     bound = F.col("n") * (share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p)))
-    counts = counts.where(bound >= np.log(2e4)).orderBy(F.desc(F.round(bound, 6)), F.desc(F.length("sign")), "sign").limit(50 * MOST_SIGNS)
     kept: list[tuple[str, int, int]] = []
-    for r in counts.collect():
+    alike: dict[tuple[int, int], list[str]] = {}
+    for r in counts.where(bound >= np.log(2e4)).orderBy(F.desc(F.round(bound, 6)), F.desc(F.length("sign")), "sign").collect():  # no more than the bounded sample's words
         stem, found = r.sign.rstrip("$"), (int(r.pos), int(r.n - r.pos))
-        if not any(y[1:] == found and (y[0].startswith(stem) or stem.startswith(y[0].rstrip("$"))) for y in kept):
+        others = alike.setdefault(found, [])
+        if not any(y.startswith(stem) or stem.startswith(y) for y in others):
             kept.append((r.sign, *found))
-    return kept[:MOST_SIGNS]
+            others.append(stem)
+    return kept
+
+
+def spanning_tree(votes: np.ndarray, q: np.ndarray) -> list[int]:
+    """Each voter's parent (-1 at the root) in the tree of most mutual information within the classes."""
+    n = votes.shape[1]
+    gain = np.zeros((n, n))
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1.0
+        on = (votes.T @ weight + 0.25) / total
+        both = (votes.T @ (votes * weight[:, None]) + 0.0625) / total
+        for joint, a, b in ((both, on[:, None], on[None, :]), (on[:, None] - both, on[:, None], 1 - on[None, :]), (on[None, :] - both, 1 - on[:, None], on[None, :]), (1 - on[:, None] - on[None, :] + both, 1 - on[:, None], 1 - on[None, :])):
+            joint = np.clip(joint, 1e-9, 1)
+            gain += total / (len(q) + 2) * joint * np.log(joint / np.clip(a * b, 1e-12, 1))
+    parent, best, far = [-1] * n, gain[0].copy(), np.ones(n, dtype=bool)
+    link = np.zeros(n, dtype=int)
+    far[0] = False
+    while far.any():
+        j = int(np.argmax(np.where(far, best, -np.inf)))
+        parent[j], far[j] = int(link[j]), False
+        closer = far & (gain[j] > best)
+        best[closer], link[closer] = gain[j][closer], j
+    return parent
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for rows of 0/1 votes and given labels; see the module's text."""
+    """Posterior of toxic for rows of 0/1 votes and given labels; see the module's text.
+
+    Clean rows' votes are held to be rarer than toxic rows', and a given label to be right more often than wrong: that
+    names the two classes. Rates are smoothed as by one row of each class.
+    """
     rows, voters = votes.shape
     q = 0.05 + 0.9 * given.astype(np.float64)
-    weight = np.ones(voters)
+    parent: list[int] = []
     for turn in range(rounds):
+        if turn % 10 == 0:
+            parent = spanning_tree(votes, q)
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        on = (votes.T @ q + 0.5) / (q.sum() + 1)
-        off = (votes.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1)
-        on, off = np.clip(on, 1e-3, 0.999), np.clip(np.minimum(off, on), 1e-4, 0.999)
-        said_on = np.clip((given @ q + 1) / (q.sum() + 2), 0.6, 0.995)
-        said_off = np.clip((given @ (1 - q) + 1) / ((1 - q).sum() + 2), 0.005, 0.4)
-        if turn in (5, 15):
-            expected = np.outer(q, on) + np.outer(1 - q, off)
-            left = votes - expected
-            size = np.sqrt((left**2).mean(0)) + 1e-9
-            rho = np.abs(left.T @ left / rows / np.outer(size, size))
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + rho.sum(1))
-        odds = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off)) + (1 - votes) @ (weight * np.log((1 - on) / (1 - off)))
-        odds = odds + np.where(given > 0, np.log(said_on / said_off), np.log((1 - said_on) / (1 - said_off)))
+        odds = np.full(rows, np.log(prior / (1 - prior)))
+        for j, p in enumerate(parent):
+            for state in (0, 1) if p >= 0 else (None,):
+                at = np.ones(rows, dtype=bool) if state is None else votes[:, p] == state
+                v = votes[at, j]
+                on = np.clip((v @ q[at] + 0.5) / (q[at].sum() + 1), 1e-3, 0.999)
+                off = np.clip((v @ (1 - q[at]) + 0.05) / ((1 - q[at]).sum() + 1), 1e-4, 0.999)
+                off = min(off, on) if state is None or state == 0 else off
+                odds[at] += np.where(v > 0, np.log(on / off), np.log((1 - on) / (1 - off)))
+        said_on = np.clip((given @ q + 1) / (q.sum() + 2), 0.5, 0.995)
+        said_off = np.clip((given @ (1 - q) + 1) / ((1 - q).sum() + 2), 0.005, 0.5)
+        odds += np.where(given > 0, np.log(said_on / said_off), np.log((1 - said_on) / (1 - said_off)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
+        if turn % 10 and np.abs(new - q).max() < 1e-6:
             break
         q = new
     return q
 
 
+class Features:
+    """Sparse rows of features: log counts of signs, votes, and a constant at the end."""
+
+    def __init__(self, found: list[tuple[dict[int, int], list[bool]]], lists: np.ndarray, voters: int):
+        signs = len(lists)
+        self.rows, self.columns = len(found), signs + voters + 1
+        at, of, value = [], [], []
+        for r, (counts, patterns) in enumerate(found):
+            votes = {signs + int(lists[i]) for i in counts} | {signs + voters - len(PATTERNS) + k for k, v in enumerate(patterns) if v}
+            for i, n in counts.items():
+                at.append(r), of.append(i), value.append(np.log1p(n))
+            for k in [*votes, signs + voters]:
+                at.append(r), of.append(k), value.append(1.0)
+        self.at, self.of, self.value = np.array(at, dtype=np.int64), np.array(of, dtype=np.int64), np.array(value)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=self.value * w[self.of], minlength=self.rows)
+
+    def sums(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=self.value * u[self.at], minlength=self.columns)
+
+    def votes(self, signs: int) -> np.ndarray:
+        out = np.zeros((self.rows, self.columns - signs - 1))
+        own = (self.of >= signs) & (self.of < self.columns - 1)
+        out[self.at[own], self.of[own] - signs] = 1
+        return out
+
+
 class Classifier:
-    def __init__(self, signs: list[str], coefficients: np.ndarray):
-        self.signs, self.coefficients = signs, coefficients
+    """signs: spellings, with $ behind whole words; lists: the lexicon voter of each sign; then come the pattern voters."""
+
+    def __init__(self, signs: list[str], lists: np.ndarray, voters: int, coefficients: np.ndarray):
+        self.signs, self.lists, self.voters, self.coefficients = signs, lists, voters, coefficients
         self.finder: Signs | None = None
 
     def __getstate__(self):
-        return {"signs": self.signs, "coefficients": self.coefficients, "finder": None}
-
-    @staticmethod
-    def features(counts: list[dict[int, int]], signs: int) -> np.ndarray:
-        x = np.zeros((len(counts), signs + 3))
-        for r, found in enumerate(counts):
-            for i, n in found.items():
-                x[r, i] = np.log1p(n)
-            x[r, signs] = np.log1p(sum(found.values()))
-            x[r, signs + 1] = len(found) > 0
-        x[:, signs + 2] = 1
-        return x
+        return self.__dict__ | {"finder": None}
 
     def scores(self, texts: list[str]) -> np.ndarray:
         self.finder = self.finder or Signs(self.signs)
-        x = self.features([self.finder.counts(t) for t in texts], len(self.signs))
-        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients, -30, 30)))
+        x = Features([self.finder.counts(t) for t in texts], self.lists, self.voters)
+        return 1 / (1 + np.exp(-np.clip(x.times(self.coefficients), -30, 30)))
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    keep[-1] = 1e-3
+def logistic(x: Features, target: np.ndarray, ridge: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Newton steps, each solved by conjugate gradients."""
+    w = np.zeros(x.columns)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + keep * w
-        move = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), gradient)
-        w -= move
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        left = x.sums(target - p) - ridge * w
+        move, way, size = np.zeros(x.columns), left.copy(), left @ left
+        for _ in range(200):
+            if size < 1e-16:
+                break
+            image = x.sums(curve * x.times(way)) + ridge * way
+            step = size / (way @ image)
+            move += step * way
+            left -= step * image
+            size, old = left @ left, size
+            way = left + size / old * way
+        w += move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
-def sign_counts(rows: DataFrame, signs: list[str]) -> list[tuple[int, dict[int, int], int]]:
-    """(toxic, counts of signs, words) of labelled rows; their number is bounded by ``LABELLED_ROWS``."""
+def sign_counts(rows: DataFrame, signs: list[str]) -> list[tuple[int, dict[int, int], list[bool]]]:
+    """(toxic, counts of signs, patterns) of labelled rows; their number is bounded by ``LABELLED_ROWS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Signs(signs)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            found = [finder.counts(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch["toxic"].cast(pa.int32()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32())), pa.array([len((t or "").split()) for t in texts], pa.int64())],
-                names=["toxic", "sign", "n", "words"],
-            )
+            found = [finder.counts(t or "") for t in batch["text"].to_pylist()]
+            columns = [batch["toxic"].cast(pa.int32()), pa.array([list(f) for f, _ in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "sign", "n", "patterns"])
 
-    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, sign array<int>, n array<int>, words long").collect()
-    return [(r.toxic, dict(zip(r.sign, r.n)), r.words) for r in got]
+    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, sign array<int>, n array<int>, patterns array<boolean>").collect()
+    # in one order, whatever the partitions, so that sums of doubles and with them scores repeat
+    return sorted(((r.toxic, dict(sorted(zip(r.sign, r.n))), list(r.patterns)) for r in got), key=lambda x: (x[0], list(x[1].items()), x[2]))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
@@ -203,37 +276,40 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     rows = materialize(rows, "labelled")
     apart = rows.groupBy("alike", "toxic").agg(F.min("text").alias("text"))
     learned = learned_signs(apart)
-    fixed = [s for s in INSULTS if not any(s.startswith(x) for x, _, _ in learned)]
-    signs = [s for s, _, _ in learned] + fixed
+    known = [x for x, _, _ in learned]
+    fixed = [(s, k) for k, group in enumerate(INSULTS.values()) for s in group if not any(s.startswith(x) for x in known)]
+    signs = known + [s for s, _ in fixed]
+    # learned words and learned beginnings go to lists of their own, by precision
+    tier = lambda pos, neg: min(TIERS - 1, int((1 - pos / (pos + neg)) / (1 - PRECISION) * TIERS))
+    lists = np.array([len(INSULTS) + TIERS * x.endswith("$") + tier(pos, neg) for x, pos, neg in learned] + [k for _, k in fixed], dtype=np.int64)
+    voters = len(INSULTS) + 2 * TIERS + len(PATTERNS)
+    ridge = np.full(len(signs) + voters + 1, 0.3)
+    ridge[len(signs) :] = 0.03
+    ridge[-1] = 1e-3
     data = sign_counts(rows, signs)
     given = np.array([t for t, _, _ in data], dtype=np.float64)
     if not len(given) or given.min() == given.max():
-        w = np.zeros(len(INSULTS) + 3)
-        w[len(INSULTS) : len(INSULTS) + 3] = (1.0, 4.0, -4.0)
-        return Classifier(list(INSULTS), w)
-    counts = [c for _, c, _ in data]
-    votes = np.zeros((len(data), LEXICONS + 4))
-    for r, (_, found, words) in enumerate(data):
-        for i, n in found.items():
-            votes[r, i % LEXICONS if i < len(learned) else LEXICONS] = 1
-        votes[r, LEXICONS + 1] = len(found) > 1
-        votes[r, LEXICONS + 2] = max(found.values(), default=0) > 1
-        votes[r, LEXICONS + 3] = sum(found.values()) * 100 > words > 0
-    return Classifier(signs, logistic(Classifier.features(counts, len(signs)), label_model(votes, given)))
+        w = np.zeros(len(ridge))
+        w[len(signs) : len(signs) + len(INSULTS)] = 4.0
+        w[len(signs) + voters - len(PATTERNS)] = 1.0
+        w[-1] = -3.0
+        return Classifier(signs, lists, voters, w)
+    x = Features([(c, p) for _, c, p in data], lists, voters)
+    return Classifier(signs, lists, voters, logistic(x, label_model(x.votes(len(signs)), given), ridge))
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with score and predicted."""
-    inner = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
-    kept = inner.schema["kept"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_SIGNS signs
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+    kept = StructType([inner.schema["kept"]]).add("score", "double").add("predicted", "integer")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # signs of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, 256) for b in batches for a in range(0, len(b), 256)):
             p = shared.value.scores([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["kept"], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["kept", "score", "predicted"])
 
-    return inner.mapInArrow(run, f"kept {kept}, score double, predicted int").select("kept.*", "score", "predicted")
+    return inner.mapInArrow(run, kept).select("kept.*", "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 1, folds: int = 3) -> DataFrame:
