@@ -26,15 +26,16 @@ otherwise ``unanswered``, ``unknown_tool``, ``invalid_arguments``, ``cycle``,
 
 A null role becomes "unknown", a null text "". Null conversations and turns are kept; their
 calls link with nothing, as do null identifiers. Text that is not such JSON is
-plain. Repeated rows are messages of their own. Other columns are not read. All
-steps are DataFrame expressions.
+plain. Repeated rows are messages of their own; of calls (or results) that share turn, part and
+content any one is the first. Empty texts are empty messages, very long ones stay whole. An empty
+table gives an empty result. Other columns are not read. All steps are DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_table, materialize
@@ -109,6 +110,18 @@ def _levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
     return known.where("level > 0").select("conv_id", "id", "level", "at").union(stuck)
 
 
+def _with_first(rows: DataFrame, linked: Column, order: list[str], name: str) -> DataFrame:
+    """Written rows, with a flag on the first one of each (conv_id, id) that links.
+
+    A least row a key, found with partial sums, is joined by the rows' own numbers, so neither a key
+    that holds many rows nor the null keys land in one task.
+    """
+    numbered = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), name)
+    least = numbered.where(linked).groupBy("conv_id", "id").agg(F.min(F.struct(*order, "uid")).alias("least"))
+    found = numbered.join(least.select(F.col("least.uid").alias("uid"), F.lit(True).alias(name)), "uid", "left")
+    return materialize(found.withColumn(name, F.coalesce(name, F.lit(False))).drop("uid"), name)
+
+
 def format_chat(turns: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
     """conv_id, turn, level, part, role, call_id, status, message (canonical JSON)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -131,26 +144,24 @@ def format_chat(turns: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
     calls = calls.select("conv_id", "turn", "role", (F.col("pos") + 1).alias("part"), F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.col("c.after").alias("after"))
     linked = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
     # the first use of an identifier in a conversation is its call, the first answer its result
-    own = Window.partitionBy("conv_id", "id")
-    calls = calls.withColumn("first_call", linked & (F.row_number().over(own.orderBy("turn", "part", "name", "arguments")) == 1))
-    calls = materialize(calls, "calls")
+    calls = _with_first(calls, linked, ["turn", "part", "name", "arguments"], "first_call")
     results = tools.where("kind = 'result'").select("conv_id", "turn", "role", F.col("j.tool_call_id").alias("id"), F.coalesce("j.content", F.lit("")).alias("content"))
-    results = materialize(results.withColumn("nth", F.row_number().over(own.orderBy("turn", "content"))), "results")
+    results = _with_first(results, linked, ["turn", "content"], "first_answer")
 
-    levels = _levels(calls, results.where("nth = 1 and conv_id is not null"))
-    answered = results.where("nth = 1 and conv_id is not null").select("conv_id", "id", F.lit(True).alias("answered"))
+    levels = _levels(calls, results.where("first_answer"))
+    answered = results.where("first_answer").select("conv_id", "id", F.lit(True).alias("answered"))
     placed = calls.join(answered, ["conv_id", "id"], "left").join(levels.withColumnRenamed("level", "depth"), ["conv_id", "id"], "left")
     depth = F.coalesce("depth", F.lit(0))
     valid = valid_arguments(F.col("name"), F.col("arguments"), schemas)
     status = (
-        F.when(F.coalesce(~F.col("first_call"), F.lit(True)) & linked, "duplicate_call").when(depth < 0, "cycle").when(valid.isNull(), "unknown_tool").when(~valid, "invalid_arguments").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
+        F.when(~F.col("first_call") & linked, "duplicate_call").when(depth < 0, "cycle").when(valid.isNull(), "unknown_tool").when(~valid, "invalid_arguments").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
     )
     call_text = message(arguments=F.coalesce(canonical(F.col("arguments")), F.col("arguments")), id=F.col("id"), name=F.col("name"), role=F.col("role"), type=F.lit("tool_call"))
     call_rows = placed.select("conv_id", F.greatest("turn", "at").alias("turn"), F.greatest(depth, F.lit(0)).cast("int").alias("level"), "part", "role", F.col("id").alias("call_id"), status.alias("status"), call_text.alias("message"))
 
     origin = placed.where("first_call").select("conv_id", "id", F.greatest(depth, F.lit(0)).cast("int").alias("level"), F.greatest("turn", "at").alias("called"), F.col("part").alias("call_part"))
     answers = results.join(origin, ["conv_id", "id"], "left")
-    status = F.when(F.col("called").isNull() & F.col("level").isNull(), "orphan_result").when(F.col("nth") > 1, "duplicate_result").otherwise("ok")
+    status = F.when(F.col("called").isNull() & F.col("level").isNull(), "orphan_result").when(~F.col("first_answer"), "duplicate_result").otherwise("ok")
     result_text = message(content=F.col("content"), role=F.col("role"), tool_call_id=F.col("id"), type=F.lit("tool_result"))
     # a result that stands before its call moves behind it: the call's turn, after all of its calls
     turn, part = F.greatest("turn", "called"), F.when(F.col("turn") <= F.col("called"), F.col("call_part") + 1_000_000).otherwise(F.lit(0))
