@@ -23,7 +23,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from .shared import materialize, drop_table, new_path, partitions, release
 MAX_BITS = 16
 SEGMENT = 64
 BLOCK_IDS = 1 << 17
-#: Entries that a worker keeps; a full table is emptied, so memory is bounded at any vocabulary of words.
-CHUNKS_KEPT, WORDS_KEPT = 250_000, 400_000
+#: Entries that each of the two halves of a worker's table holds (about 100 MB together), so memory is bounded at any vocabulary of words.
+PARTS_KEPT = 250_000
+# First and last code points of the blocks whose letters go to the model directly (Latin, Greek, Cyrillic, kana, common ideographs).
+DIRECT = ((0x61, 0x7A), (0xDF, 0x24F), (0x390, 0x3CE), (0x430, 0x45F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5))
 
 RAW = "shard int, block int, ids_before long, doc_ids array<long>, doc_sizes array<int>, ids binary"
 BLOCKS = "shard int, block int, first long, n_ids int, doc_ids array<long>, doc_sizes array<int>, segments binary, payload binary"
@@ -47,13 +50,37 @@ DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # --- ids -----------------------------------------------------------------------------------------
 
 
+class Table(dict):
+    """Results of a function of strings: the recent ones, and a second half that is dropped when the first is full.
+
+    What is asked for again moves back to the first half, so frequent strings stay while rare ones pass through.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
-    """The library's tokenizer behind two tables of parts that it has encoded before.
+    """The library's tokenizer behind a table of parts that it has encoded before.
 
     The tokenizer splits at white space and between letters and other signs, so
     a text's ids are those of its parts in order. Texts for which that could fail
-    (added tokens' strings, text that is not in NFC, a capital sigma, whose lower
-    case depends on its neighbours) go through the library whole.
+    (added tokens' strings, text that is not in NFC before or after lower-casing, a
+    capital sigma, whose lower case depends on its neighbours) go through the library whole. Words of letters
+    of the ``DIRECT`` blocks go to the library's model as the byte-level alphabet
+    spells them; other parts go through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -62,55 +89,51 @@ class Encoder:
         self.whole = Tokenizer.from_str(definition)
         self.model = self.whole.model
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.parts = Table(self._part, PARTS_KEPT)
         #: Strings that send a text through the library whole; the separators are white space to str.split() only.
         self.odd = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
-        self.plain = re.compile(r"[a-z]+")
+        self.ascii = re.compile(r"[a-z]+")
+        letters = (chr(c) for a, b in DIRECT for c in range(a, b + 1))
+        self.letters = re.compile("[" + "".join(c for c in letters if c.isalpha() and c.lower() == c) + "]+")
+        self.spelled = byte_alphabet()
         self.split = normal_splits(self.whole)
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            if self.plain.fullmatch(word):
-                found = self._ids([t.id for t in self.model.tokenize(word)])
-            else:
-                found = self._ids(self.whole.encode(word, add_special_tokens=False).ids)
-            self.words[word] = found
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(self.chunks) >= CHUNKS_KEPT:
-            self.chunks.clear()
+    def _part(self, part: str) -> bytes:
+        if self.ascii.fullmatch(part):
+            return array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
+        if self.letters.fullmatch(part):
+            return array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.spelled))]).tobytes()
         # a run of letters, then signs without apostrophe: the tokenizer never joins the two
-        cut = len(chunk.rstrip(".,;:!?*$%&#|()"))
-        if 0 < cut and chunk[:cut].isalpha():
-            found = self._word(chunk[:cut]) + (self._word(chunk[cut:]) if cut < len(chunk) else b"")
-        else:
-            found = self._ids(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= 64:
-            self.chunks[chunk] = found
-        return found
+        word = part.rstrip(".,;:!?*$%&#|()")
+        if word != part and word.isalpha():
+            return self.parts[word] + self.parts[part[len(word) :]]
+        return self._ids(self.whole.encode(part, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         low = text.lower()
-        if not self.split or "Σ" in text or any(x in low for x in self.odd) or not unicodedata.is_normalized("NFC", text):
+        composed = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and "Σ" not in text)
+        if not self.split or not composed or any(x in low for x in self.odd):
             return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
-        get, slow = self.chunks.get, self._chunk
-        return b"".join([get(c) or slow(c) for c in low.split()])
+        return b"".join(map(self.parts.__getitem__, low.split()))
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 def normal_splits(tokenizer) -> bool:
-    """Whether this tokenizer treats parts on their own and ignores case and white space, told by trial."""
-    whole = tokenizer.encode("One,two  THREE\nfour-five ok.", add_special_tokens=False).ids
-    parts = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("one", ",", "two", "three", "four-five", "ok", ".")]
-    direct = [t.id for t in tokenizer.model.tokenize("three")]
-    return whole == sum(parts, []) and direct == parts[3]
+    """Whether this tokenizer treats parts on their own, ignores case and white space and spells bytes as ``byte_alphabet`` does, told by trial."""
+    whole = tokenizer.encode("One,two  THREE\nfour-five ok. Über 東京", add_special_tokens=False).ids
+    parts = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("one", ",", "two", "three", "four-five", "ok", ".", "über", "東京")]
+    direct = [[t.id for t in tokenizer.model.tokenize(x.encode().decode("latin-1").translate(byte_alphabet()))] for x in ("three", "über", "東京")]
+    return whole == sum(parts, []) and direct == [parts[3], *parts[7:]]
 
 
 _ENCODERS: dict[int, Encoder] = {}
