@@ -14,10 +14,8 @@ Equal sets fold into one node first. In each bucket every member is compared
 with one centre, then, where a bucket still holds several components, with
 another. What can be left are links between components of one bucket, as in
 families of texts that resemble each other, but mostly less than the threshold.
-Pairing all their members would be quadratic, so: members of a bucket are
-compared by signature, tile by tile, and only documents that seem to have a
-partner in another component leave the tile. Among these documents exact prefix filtering
-(Bayardo et al., 2007) finds every possible pair: ordered from the rarest shingle, two sets
+Pairing all their members would be quadratic, so exact prefix filtering
+(Bayardo et al., 2007) finds every possible pair among the documents of such buckets: ordered from the rarest shingle, two sets
 similar enough share one of their first few. Pairs pass a signature estimate
 (far below the threshold, so that nothing is lost to noise) and are confirmed
 on full sets computed from whole texts. Confirmed links go to
@@ -39,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, partitions
+from .shared import materialize, own_columns, packed, row_hash
 
 SHINGLE = 5
 M, BANDS = 128, 32
 #: A pair whose signatures agree in a share of components this much below the threshold is not verified: more than 4 standard errors.
 MARGIN = 0.14
 CHUNK = 1 << 19
-TILE = 512
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -268,64 +265,6 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return materialize(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
 
-def _partnered(percent: int):
-    """Ids of tile members that seem to have a partner in another component; rows come sorted by tile."""
-
-    def tile(ids, components, sides, sig) -> np.ndarray:
-        one, two = (np.arange(len(ids)),) * 2 if sides[0] < 0 else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
-        hit = np.zeros(len(ids), dtype=bool)
-        for i in one.tolist():
-            near = two[((sig[two] == sig[i]).sum(axis=1) >= _least(percent)) & (components[two] != components[i])]
-            if len(near):
-                hit[i] = True
-                hit[near] = True
-        return ids[hit]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, cuts in tiles(batches, ("key", "lo", "hi")):
-            ids, components, sides = (now[c].to_numpy() for c in ("doc_id", "component", "side"))
-            sig = _signature_matrix(now["sig"])
-            found = [tile(ids[a:b], components[a:b], sides[a:b], sig[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)) if found else [], pa.int64())], names=["doc_id"])
-
-    return run
-
-
-def tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int]]]:
-    """Whole runs of equal keys of sorted rows, whatever batches they come in: a table and its cuts."""
-    rest: pa.Table | None = None
-    for batch in _and_end(batches):
-        if batch is not None:
-            now = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch]).combine_chunks()
-        elif rest is None:
-            return
-        else:
-            now = rest
-        if not len(now):
-            continue
-        where = np.stack([now[c].to_numpy() for c in keys])
-        cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), len(now)]
-        if batch is not None:
-            rest = now.slice(cuts[-2])  # may go on in the next batch
-            cuts = cuts[:-1]
-        if len(cuts) > 1:
-            yield now, cuts
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def tiled(members: DataFrame, key: str, node: str, size: int = TILE) -> DataFrame:
-    """Each row once for every pair of tiles of its key that holds its tile: adds lo, hi and side (0 or 1, or -1 in a tile paired with itself)."""
-    counts = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_tiles", F.expr(f"int((_n + {size - 1}) div {size})")).select(key, "_tiles")
-    rows = members.join(counts.hint("merge"), key).withColumn("_own", F.pmod(F.xxhash64(F.lit(size), node), F.col("_tiles")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    return rows.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other")).withColumn("side", side).drop("_tiles", "_own", "_other")
-
-
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
@@ -348,9 +287,14 @@ def prefix_pairs(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     # a pair's first common shingle leaves no more overlap than either set has from there on (positional filter)
     first = ranked.withColumn("p", length).where("p > 0").select("doc_id", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "s"))
     prefix = first.select("doc_id", "n", F.col("s.hash").alias("hash"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest"))
+    # sizes of a pair differ by less than one step of this ladder, so a frequent shingle's documents only meet those of their own or the next rung
+    prefix = prefix.withColumn("rung", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
     prefix = materialize(prefix.join(wanted, "doc_id"), "prefixes")
-    other = prefix.select("hash", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("k2"))
-    pairs = prefix.join(other.hint("merge"), "hash").where(f"component < k2 and {100 + percent} * least(rest, rest2) >= {percent} * (n + n2)")
+    # a component alone on its rungs of a shingle has no partner there
+    several = prefix.select("hash", F.explode(F.array("rung", F.col("rung") + 1)).alias("rung"), "component").groupBy("hash", "rung").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash", "rung")
+    one = prefix.join(several.hint("merge"), ["hash", "rung"], "left_semi")
+    other = prefix.select("hash", F.explode(F.array("rung", F.col("rung") + 1)).alias("rung"), F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("k2"))
+    pairs = one.join(other.hint("merge"), ["hash", "rung"]).where(f"component <> k2 and {100 + percent} * least(rest, rest2) >= {percent} * (n + n2)")
     return pairs.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
 
 
@@ -388,13 +332,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         links = links.union(confirmed(again, nodes, docs, percent))
         groups, left = open_members()
     if not left.isEmpty():
-        spread = tiled(left.drop("c"), "key", "doc_id").hint("merge").join(nodes.select("doc_id", "sig"), "doc_id")
-        spread = spread.select("key", "lo", "hi", "side", "doc_id", "component", "sig").repartition(partitions(docs.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        seeming = spread.mapInArrow(_partnered(percent), "doc_id long").distinct()
-        seeming = materialize(left.select("doc_id", "component").distinct().join(seeming, "doc_id", "left_semi"), "seeming")
-        if not seeming.isEmpty():
-            links = links.union(confirmed(prefix_pairs(docs, seeming, percent), nodes, docs, percent))
-            groups = materialize(connected_components(links), "components")
+        wanted = materialize(left.select("doc_id", "component").distinct(), "open-documents")
+        links = links.union(confirmed(prefix_pairs(docs, wanted, percent), nodes, docs, percent))
+        groups = materialize(connected_components(links), "components")
     found = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2")
     rows = rows.join(found, ["fp1", "fp2"], "left")
@@ -406,7 +346,8 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group, with its own columns; rows that only repeat a kept id go."""
     found = near_duplicates(docs, percent).where("kept")
     kept = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(own_columns(docs))
     if not kept.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
+        one = rows.select("doc_id", packed(rows).alias("row"), F.struct(F.xxhash64("text").alias("t"), row_hash(rows).alias("r")).alias("by"))
+        rows = one.groupBy("doc_id").agg(F.min_by("row", "by").alias("row")).select("row.*")
     return rows.union(docs.where("doc_id is null"))
