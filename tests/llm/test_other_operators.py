@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 
@@ -86,6 +87,47 @@ def test_chat_long_chain(spark):
     assert calls["c0"].status == "ok" and {calls[f"c{k}"].status for k in range(1, 70)} == {"unanswered"}
 
 
+def test_chat_of_random_graphs(spark):
+    """Levels, turns and status against a plain walk through each conversation."""
+    rng = random.Random(31)
+    rows, calls, results = [], {}, {}
+    for conv in range(25):
+        n = rng.randint(1, 12)
+        for k in range(n):
+            after = sorted({f"c{rng.randrange(n + 2)}" for _ in range(rng.choice([0, 1, 1, 2]))} - ({f"c{k}"} if rng.random() < 0.9 else set()))
+            turn, name, argument = rng.randrange(8), rng.choice(["search", "zork"]), rng.choice(["query", "limit"])
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": name, "arguments": {argument: "x"}, "after": after}]})))
+            calls[conv, f"c{k}"] = (turn, after, name, argument)
+            if rng.random() < 0.6:
+                answer = rng.randrange(10)
+                rows.append((conv, answer, "tool", json.dumps({"tool_call_id": f"c{k}", "content": "R"})))
+                results[conv, f"c{k}"] = answer
+    placed: dict = {}
+    moved = True
+    while moved:  # a call is placed once all calls that it waits for are
+        moved = False
+        for (conv, i), (turn, after, *_) in calls.items():
+            waits = [(conv, a) for a in after if (conv, a) in calls]
+            if (conv, i) not in placed and all(w in placed for w in waits):
+                level = 1 + max((placed[w][0] for w in waits), default=-1) if after else 0
+                at = max([turn, *(placed[w][2] for w in waits)])
+                placed[conv, i] = (max(level, 0), at, max(at, results.get((conv, i), -1)))
+                moved = True
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    seen = 0
+    for r in got:
+        key, kind = (r.conv_id, r.call_id), json.loads(r.message)["type"]
+        turn, after, name, argument = calls[key]
+        cycle, (level, at, _) = key not in placed, placed.get(key, (0, turn, turn))
+        if kind == "tool_call":
+            status = "cycle" if cycle else "unknown_tool" if name == "zork" else "invalid_arguments" if argument == "limit" else "ok" if key in results else "unanswered"
+            assert (r.level, r.turn, r.status) == (level, at, status), (key, r)
+            seen += 1
+        else:
+            assert (r.level, r.turn, r.status) == (level, max(results[key], at), "ok")
+    assert seen == len(calls) and any(k not in placed for k in calls) and max(p[0] for p in placed.values()) > 2
+
+
 def test_pipeline(spark, odd, empty, tmp_path):
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     odd.write.parquet(str(tmp_path / "documents.parquet"))
@@ -102,6 +144,21 @@ def test_pipeline(spark, odd, empty, tmp_path):
         assert docs.count() == 0, name
 
 
+def test_stages_with_clashing_names(spark, tmp_path):
+    """Extra columns under the names that stages and operators use themselves come through unchanged."""
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = ["score", "lang_pred", "bits_per_byte", "kept", "row", "_hit", "_h", "_t", "_d", "n_hit", "text_hash", "row_hash", "rid", "size", "pass", "block", "source_size", "component_id", "n_shingles", "a", "b", "w", "c", "c.d"]
+    rows = [(i, f"document {i} has the words number {i * 7} and {i * 11} and some more {i}", "en", "s", 50, *[f"{c}{i}" for c in own]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in own))
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *own], name
+        for r in docs.collect():
+            assert [r[c] for c in own] == [f"{c}{r.doc_id}" for c in own], name
+    assert {r.doc_id for r in docs.collect()} <= set(range(20)) and corpus_pipeline.token_ids(spark, docs, "").count() == docs.count()
+
+
 def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (2, None, None), (3, "12 --", None), (4, None, "en"), (5, "\u6771\u4eac", None)], "doc_id long, text string, lang string")
     got = corpus_pipeline.language(spark, docs, "")
