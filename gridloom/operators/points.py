@@ -1,9 +1,9 @@
 """Proximity queries over point sets: nearest neighbours, radius joins, pairs, pair counts.
 
 A ``PointSet`` is a lazy DataFrame with an id, one double column an axis and, if
-wanted, a weight. Nothing is indexed up front. Joins within a radius become
-equality joins on grid cells as wide as the radius (``grid``), which Spark
-shuffles, spills and splits under skew like any other join; the distance is a
+wanted, a weight. Nothing is indexed up front. Open sets are joined tile by tile
+(``tiles``). Periodic sets, and joins at radius 0, become equality joins on grid cells as wide as the
+radius, which Spark shuffles, spills and splits under skew like any other join; the distance is a
 filter behind it. Cells use the three widest axes at most, as each axis triples
 the rows of one side.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import bin_index, box_of, squared_distance
 from ..sources.tables import materialize
+from . import tiles
 
 MOST_GRID_AXES = 3
 #: Up to this many dimensions nearest neighbours are searched by grids, above it by blocks.
@@ -103,8 +104,8 @@ class PointSet:
         spread = [max(a[1], b[1]) - min(a[0], b[0]) for a, b in zip(self.bounds[1], other.bounds[1])]
         return sorted(sorted(range(self.dim), key=lambda i: -spread[i])[:MOST_GRID_AXES])
 
-    def _cells(self, df: DataFrame, axes: list[int], width: float, around: bool, half: bool = False) -> DataFrame:
-        """Adds cell columns c0.. of the given width; with ``around`` a row for each neighbouring cell, with ``half`` only those on one side."""
+    def _cells(self, df: DataFrame, axes: list[int], width: float, around: bool) -> DataFrame:
+        """Adds cell columns c0.. of the given width; with ``around`` a row for each neighbouring cell."""
         width = width * (1 + SLACK)
         own, sizes = [], []
         for i in axes:
@@ -117,12 +118,10 @@ class PointSet:
         if not around:
             return df.select("*", *[c.alias(f"c{k}") for k, c in enumerate(own)])
         offsets = list(itertools.product((-1, 0, 1), repeat=len(axes)))
-        if half:
-            offsets = [o for o in offsets if o >= (0,) * len(axes)]
         moved = []
         for o in offsets:
             at = [F.pmod(c + d, F.lit(n)) if n else c + d for c, d, n in zip(own, o, sizes)]
-            moved.append(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(at)], *([F.lit(not any(o)).alias("home")] if half else [])))
+            moved.append(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(at)]))
         cells = F.array_distinct(F.array(*moved)) if any(n is not None and n < 3 for n in sizes) else F.array(*moved)
         return df.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
 
@@ -145,17 +144,11 @@ class PointSet:
         d2 = squared_distance([F.col(f"a_{c}") for c in self.axes], [F.col(f"b_{c}") for c in self.axes], self.box)
         return a.join(b, cells).withColumn("d2", d2).where(keep)
 
-    def _self_near(self, radius: float) -> DataFrame:
-        """Unordered pairs within the radius, a_id < b_id; without a box each pair of cells is joined once."""
-        if self.box or radius == 0:
-            return self._near(self, radius, f"a_id < b_id and d2 <= {radius * radius!r}D")
-        axes = self._grid_axes(self)
-        cells = [f"c{k}" for k in range(len(axes))]
-        a, b = self._cells(self.df, axes, radius, False), self._cells(self.df, axes, radius, True, half=True)
-        a = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns if c not in cells], *cells)
-        b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns if c not in cells and c != "home"], *cells, "home")
-        d2 = squared_distance([F.col(f"a_{c}") for c in self.axes], [F.col(f"b_{c}") for c in self.axes])
-        return a.join(b, cells).withColumn("d2", d2).where(f"(not home or a_id < b_id) and d2 <= {radius * radius!r}D")
+    def _within(self, other: PointSet | None, r: float) -> DataFrame:
+        """a_id, b_id, d2 of pairs within r; without another set the unordered pairs of this one, a_id < b_id."""
+        if self.box or r == 0:
+            return self._near(other or self, r, f"d2 <= {r * r!r}D" if other else f"a_id < b_id and d2 <= {r * r!r}D")
+        return tiles.pairs_within(self.df, other.df if other else None, self.axes, self.bounds[0], (other or self).bounds[0], r)
 
     # --- joins --------------------------------------------------------------------------------
 
@@ -164,7 +157,7 @@ class PointSet:
         if not r >= 0:
             raise ValueError("the radius must not be negative")
         points, queries = self._wrapped(queries)
-        near = points._near(queries, r, f"d2 <= {r * r!r}D")
+        near = points._within(queries, r)
         return near.select(F.col("b_id").alias("query_id"), F.col("a_id").alias("id"), F.sqrt("d2").alias("distance"))
 
     def radius_lists(self, queries: PointSet, r: float) -> DataFrame:
@@ -182,10 +175,12 @@ class PointSet:
         """i, j within r: unordered pairs of this set (i < j), or all pairs of this set and another."""
         if not r >= 0:
             raise ValueError("the radius must not be negative")
-        if other is None:
-            return self._self_near(r).select(F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j"))
-        a, b = self._wrapped(other)
-        return a._near(b, r, f"d2 <= {r * r!r}D").select(F.col("a_id").alias("i"), F.col("b_id").alias("j"))
+        a, b = (self, None) if other is None else self._wrapped(other)
+        return a._within(b, r).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"))
+
+    def pairs_set(self, r: float, other: PointSet | None = None) -> set[tuple[int, int]]:
+        """The pairs as a set on the driver; for few of them."""
+        return {(x["i"], x["j"]) for x in self.pairs(r, other).toLocalIterator()}
 
     # --- nearest ------------------------------------------------------------------------------
 
@@ -194,7 +189,12 @@ class PointSet:
         if k < 1:
             raise ValueError("k must be positive")
         points, queries = self._wrapped(queries)
-        found = points._nearest_by_grid(queries, k) if self.dim <= MOST_GRID_DIM else points._nearest_by_blocks(queries, k)
+        if self.dim > MOST_GRID_DIM:
+            found = points._nearest_by_blocks(queries, k)
+        elif self.box:
+            found = points._nearest_by_grid(queries, k)
+        else:
+            found = tiles.nearest(points.df, queries.df, self.axes, self.bounds[0], queries.bounds[0], k)
         return found.select("query_id", "rank", "id", F.sqrt("d2").alias("distance"))
 
     def nearest_lists(self, queries: PointSet, k: int = 1) -> DataFrame:
@@ -283,29 +283,29 @@ class PointSet:
 
     def counts(self, radii: float | Sequence[float], other: PointSet | None = None, cumulative: bool = True) -> DataFrame:
         """k, radius, count of pairs up to each radius, or in the shell below it (behind the next smaller one); in the given order."""
-        return self._histogram(radii, other, cumulative, F.count("*"), F.lit(0).cast("long"))
+        return self._histogram(radii, other, cumulative, "n", F.count("*"), F.lit(0).cast("long"))
 
     def counts_weighted(self, radii: float | Sequence[float], other: PointSet | None = None, cumulative: bool = True) -> DataFrame:
         """k, radius, count: as counts, but the sum of the pairs' weight products."""
         if not self.weighted or (other is not None and not other.weighted):
             raise ValueError("every point set needs a weight")
-        return self._histogram(radii, other, cumulative, F.sum(F.col("a_w") * F.col("b_w")), F.lit(0.0))
+        return self._histogram(radii, other, cumulative, "w", F.sum(F.col("a_w") * F.col("b_w")), F.lit(0.0))
 
-    def _histogram(self, radii: float | Sequence[float], other: PointSet | None, cumulative: bool, total: Column, zero: Column) -> DataFrame:
+    def _histogram(self, radii: float | Sequence[float], other: PointSet | None, cumulative: bool, kind: str, total: Column, zero: Column) -> DataFrame:
         given = [float(r) for r in ([radii] if isinstance(radii, (int, float)) else radii)]
         if not given or not all(r >= 0 for r in given):
             raise ValueError("radii must be given and not negative")
         order = sorted(range(len(given)), key=lambda i: given[i])
         ascending = [given[i] for i in order]
         widest = ascending[-1]
-        if other is None:
-            near = self._self_near(widest)
+        a, b = (self, None) if other is None else self._wrapped(other)
+        if self.box or widest == 0:
+            near = a._near(b or a, widest, f"d2 <= {widest * widest!r}D" if b else f"a_id < b_id and d2 <= {widest * widest!r}D")
+            # through a generator, or each branch of the bins would compute the distance anew
+            near = near.withColumn("d2", F.explode(F.array("d2")))
+            binned = near.withColumn("bin", bin_index(F.col("d2"), ascending)).where("bin is not null").groupBy("bin").agg(total.alias("n"))
         else:
-            a, b = self._wrapped(other)
-            near = a._near(b, widest, f"d2 <= {widest * widest!r}D")
-        # through a generator, or each branch of the bins would compute the distance anew
-        near = near.withColumn("d2", F.explode(F.array("d2")))
-        binned = near.withColumn("bin", bin_index(F.col("d2"), ascending)).where("bin is not null").groupBy("bin").agg(total.alias("n"))
+            binned = tiles.binned_within(a.df, b.df if b else None, self.axes, a.bounds[0], (b or a).bounds[0], ascending).select("bin", F.col(kind).alias("n"))
         rows = self.df.sparkSession.createDataFrame([(k, i, given[i]) for k, i in enumerate(order)], "bin int, k int, radius double")
         found = rows.join(binned, "bin", "left").withColumn("n", F.coalesce("n", zero))
         if cumulative:  # a row a radius
@@ -367,3 +367,10 @@ class PointSet:
 
     def unpersist(self) -> None:
         self.df.unpersist()
+
+    def __enter__(self) -> PointSet:
+        self.df = self.df.persist()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.unpersist()

@@ -3,27 +3,31 @@
 A ``Tensor`` is a lazy DataFrame with a BIGINT column an axis (i0, i1, ...) and a
 DOUBLE value ``v``, one row an element, and its shape on the driver, where all
 shape checks happen without a job. Movement is projection, broadcasting is an
-equality join on shared axes, reductions are partial aggregates, products are a
-join and a sum. Operations on tensors that need gradients record how to pass
+equality join on shared axes, reductions are partial aggregates, products are
+joins of blocks that numpy multiplies. Operations on tensors that need gradients record how to pass
 gradients back; ``backward`` turns that into further plans.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as E
+from ..functions.permutation import permuted
 from .lifecycle import no_grad, recording
 
 #: Operands of up to this many elements are broadcast in joins; sizes are known from shapes.
 BROADCAST_ELEMENTS = 200_000
+#: Rows and columns of the blocks in which matrices are multiplied.
+MATRIX_BLOCK = 64
 MOST_AXES = 8
 
 
@@ -475,16 +479,34 @@ class Tensor:
             raise ValueError(f"cannot multiply {self.shape} by {other.shape}")
         lead = broadcast_shape(self.shape[:-2], other.shape[:-2])
         b, shape = len(lead), (*lead, self.shape[-2], other.shape[-1])
-        left, right, keys, own = _factor(self, b, "l", "lrow", "lk", False), _factor(other, b, "r", "rcol", "rk", True), [], []
+        left, right, keys, own = _blocks(self, b, "l", False), _blocks(other, b, "r", True), [], []
         for k in range(b):
             in_l, in_r = f"l{k}" in left.columns, f"r{k}" in right.columns
             if in_l and in_r:
                 keys.append(left[f"l{k}"] == right[f"r{k}"])
             own.append((left[f"l{k}"] if in_l else right[f"r{k}"] if in_r else F.lit(0).cast("long")).alias(f"i{k}"))
-        on = fold(lambda x, y: x & y, keys, left["lk"] == right["rk"])
+        on = fold(lambda x, y: x & y, keys, left["linner"] == right["rinner"])
         small = F.broadcast(right) if other.numel <= BROADCAST_ELEMENTS else right
-        rows = left.join(small, on).select(*own, F.col("lrow").alias(f"i{b}"), F.col("rcol").alias(f"i{b + 1}"), (F.col("lv") * F.col("rv")).alias("p"))
-        rows = rows.groupBy(*axes(b + 2)).agg(F.sum("p").alias("v"))
+        n, m = shape[-2:]
+        lead_names = axes(b)
+        schema = "".join(f"{c} long, " for c in lead_names) + "lo long, ro long, v array<double>"
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(len(batch)):
+                    one = batch.slice(at, 1)
+                    lo, ro = one["lo"][0].as_py(), one["ro"][0].as_py()
+                    x, y = _dense(one["le"]), _dense(one["re"])
+                    out = (x @ y.T)[: min(MATRIX_BLOCK, n - lo * MATRIX_BLOCK), : min(MATRIX_BLOCK, m - ro * MATRIX_BLOCK)]
+                    value = pa.ListArray.from_arrays(pa.array([0, out.size], pa.int32()), pa.array(out.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*(one[c] for c in lead_names), one["lo"], one["ro"], value], names=[*lead_names, "lo", "ro", "v"])
+
+        met = left.join(small, on).select(*own, F.col("louter").alias("lo"), F.col("router").alias("ro"), "le", "re").mapInArrow(products, schema)
+        rows = met.select(*lead_names, "lo", "ro", F.posexplode("v").alias("p", "v"))
+        width = F.least(F.lit(MATRIX_BLOCK), F.lit(m) - F.col("ro") * MATRIX_BLOCK)
+        rows = rows.select(*lead_names, (F.col("lo") * MATRIX_BLOCK + F.floor(F.col("p") / width)).cast("long").alias(f"i{b}"), (F.col("ro") * MATRIX_BLOCK + F.col("p") % width).cast("long").alias(f"i{b + 1}"), "v")
+        if self.shape[-1] > MATRIX_BLOCK:
+            rows = rows.groupBy(*axes(b + 2)).agg(F.sum("v").alias("v"))
 
         def back(g, out):
             a, c = self.detach(), other.detach()
@@ -586,12 +608,22 @@ def summed(parts: Sequence[Tensor]) -> Tensor:
     return Tensor(rows.groupBy(*axes(len(shape))).agg(F.sum("v").alias("v")), shape)
 
 
-def _factor(t: Tensor, lead: int, side: str, outer: str, inner: str, swap: bool) -> DataFrame:
-    """A factor's columns under its side's letter: leading axes that aren't broadcast, its outer and its inner axis, the value."""
+def _blocks(t: Tensor, lead: int, side: str, swap: bool) -> DataFrame:
+    """A factor as square blocks, under its side's letter: leading axes that aren't broadcast, the block's place on the outer and the inner axis, its elements."""
     off = lead - (t.ndim - 2)
-    last = (t.ndim - 1, t.ndim - 2) if swap else (t.ndim - 2, t.ndim - 1)
+    outer, inner = (F.col(f"i{k}") for k in ((t.ndim - 1, t.ndim - 2) if swap else (t.ndim - 2, t.ndim - 1)))
     own = [F.col(f"i{k}").alias(f"{side}{k + off}") for k in range(t.ndim - 2) if t.shape[k] != 1]
-    return t.df.select(*own, F.col(f"i{last[0]}").alias(outer), F.col(f"i{last[1]}").alias(inner), F.col("v").alias(f"{side}v"))
+    block = lambda i: F.floor(i / MATRIX_BLOCK).cast("long")
+    place = (outer % MATRIX_BLOCK * MATRIX_BLOCK + inner % MATRIX_BLOCK).cast("int")
+    return t.df.groupBy(*own, block(outer).alias(f"{side}outer"), block(inner).alias(f"{side}inner")).agg(F.collect_list(F.struct(place.alias("p"), "v")).alias(f"{side}e"))
+
+
+def _dense(elements: pa.Array) -> np.ndarray:
+    """A block from its elements; what lies beyond the matrix is 0."""
+    flat = elements.flatten()
+    out = np.zeros(MATRIX_BLOCK * MATRIX_BLOCK)
+    out[flat.field("p").to_numpy()] = flat.field("v").to_numpy(zero_copy_only=False)
+    return out.reshape(MATRIX_BLOCK, MATRIX_BLOCK)
 
 
 def aligned(operands: Sequence[Tensor], shape: Sequence[int]) -> DataFrame:
@@ -632,15 +664,10 @@ def stack(parts: Sequence[Tensor], axis: int = 0) -> Tensor:
 
 
 def shuffle(parts: Sequence[Tensor], axis: int = 0, seed: int = 0) -> list[Tensor]:
-    """One random permutation of an axis, the same for all tensors."""
+    """One keyed permutation of an axis, the same for all tensors: an expression of the index, without a sort or a join."""
     k = _axis(axis, parts[0].ndim)
     size = parts[0].shape[k]
     if any(p.shape[k] != size for p in parts):
         raise ValueError("the axis differs in size")
-    spark = parts[0].df.sparkSession
-    ranks = spark.range(size).select(F.col("id").alias("from"), (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1).cast("long").alias("to"))
-    out = []
-    for p in parts:
-        rows = p.df.join(ranks, p.df[f"i{k}"] == ranks["from"])
-        out.append(Tensor(rows.select(*[F.col("to").alias(f"i{k}") if j == k else F.col(f"i{j}") for j in range(p.ndim)], "v"), p.shape))
-    return out
+    to = permuted(F.col(f"i{k}"), F.lit(size).cast("long"), F.lit(seed))
+    return [Tensor(p.df.withColumn(f"i{k}", to), p.shape) for p in parts]

@@ -371,15 +371,16 @@ def broadcast_center(spark, sf):
     return _r(m.sub(m.mean(0, keepdim=True)))
 
 
-@query(f"WITH {EMB} SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 6) + 0 AS v FROM e a JOIN e b ON a.i1 = b.i1 WHERE a.i0 < 100 AND b.i0 < 100 GROUP BY a.i0, b.i0")
+@query(f"WITH {EMB} SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 6) + 0 AS v FROM e a JOIN e b ON a.i1 = b.i1 GROUP BY a.i0, b.i0")
 def matmul_gram(spark, sf):
-    m = matrix(spark, sf).slice(0, 0, 100)
+    """Of all rows with each other."""
+    m = matrix(spark, sf)
     return _r(m.matmul(m.transpose(0, 1)))
 
 
 @query(f"WITH {EMB} SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v), 6) + 0 AS v FROM e a JOIN e b ON a.i0 = b.i0 GROUP BY a.i1, b.i1")
 def matmul_gram_whole(spark, sf):
-    """Of the columns, over all rows; matmul_gram is of the first 100 rows only."""
+    """Of the columns with each other, over all rows."""
     m = matrix(spark, sf)
     return _r(m.transpose(0, 1).matmul(m))
 
@@ -442,17 +443,17 @@ def grad_unary(spark, sf):
     return _r(x.grad)
 
 
-@query(f"WITH {EMB}, r AS (SELECT i1, sum(v) AS t FROM e WHERE i0 < 100 GROUP BY i1) SELECT a.i0, a.i1, round(2 * r.t, 6) + 0 AS v FROM e a JOIN r ON r.i1 = a.i1 WHERE a.i0 < 100")
+@query(f"WITH {EMB}, r AS (SELECT i1, sum(v) AS t FROM e GROUP BY i1) SELECT a.i0, a.i1, round(2 * r.t, 6) + 0 AS v FROM e a JOIN r ON r.i1 = a.i1")
 def grad_matmul(spark, sf):
     """Of the sum of all products of rows."""
-    x = matrix(spark, sf).slice(0, 0, 100).detach().requires_grad()
+    x = matrix(spark, sf).detach().requires_grad()
     x.matmul(x.transpose(0, 1)).sum().backward()
     return _r(x.grad)
 
 
 @query(f"WITH {EMB}, r AS (SELECT i0, sum(v) AS t FROM e GROUP BY i0) SELECT a.i0, a.i1, round(2 * r.t, 6) + 0 AS v FROM e a JOIN r ON r.i0 = a.i0")
 def grad_matmul_whole(spark, sf):
-    """Of the sum of all products of columns, over all rows; grad_matmul is of the first 100 rows only."""
+    """Of the sum of all products of columns, over all rows."""
     x = matrix(spark, sf).detach().requires_grad()
     x.transpose(0, 1).matmul(x).sum().backward()
     return _r(x.grad)
@@ -472,6 +473,180 @@ def grad_movement(spark, sf):
     return x.grad.df
 
 
+# --- creation, files, dumps, shuffles, training: what SQL can state of them ----------------------
+
+
+def _bools(spark, **found) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "k string, v string")
+
+
+def _said(**found) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in found.items()) + ") t(k, v)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS f, CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CAST({v} AS DOUBLE) AS v FROM range(3) x(a), range(4) y(b)" for k, v in (("empty", 0), ("zeros", 0), ("ones", 1), ("fill", 2.5), ("of", "a * 4 + b"))))
+def creation(spark, sf):
+    made = {"empty": Tensor.empty(spark, (3, 4)), "zeros": Tensor.zeros(spark, (3, 4)), "ones": Tensor.ones(spark, (3, 4)), "fill": Tensor.fill(spark, (3, 4), 2.5), "of": Tensor.of(spark, [[4 * a + b for b in range(4)] for a in range(3)])}
+    out = None
+    for k, t in made.items():
+        rows = t.df.select(F.lit(k).alias("f"), "i0", "i1", "v")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+_RANDOM = ("rand", "uniform", "randn", "normal")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS f, CAST(20000 AS BIGINT) AS n, CAST(20000 AS BIGINT) AS places, true AS in_range, true AS mean_fits, true AS spread_fits, true AS repeats" for k in _RANDOM))
+def random_invariants(spark, sf):
+    """Number, places, range, mean and spread of 20,000 draws, and that a seed gives the same ones again."""
+    out = None
+    make = {"rand": (Tensor.rand, (1,), 0.5, 12**-0.5, (0, 1)), "uniform": (Tensor.uniform, (-1.0, 3.0, 2), 1.0, 4 * 12**-0.5, (-1, 3)), "randn": (Tensor.randn, (3,), 0.0, 1.0, None), "normal": (Tensor.normal, (5.0, 2.0, 4), 5.0, 2.0, None)}
+    for k in _RANDOM:
+        f, a, mean, spread, limits = make[k]
+        t, again = f(spark, (5000, 4), *a), f(spark, (5000, 4), *a)
+        inside = F.min((F.col("v") >= limits[0]) & (F.col("v") < limits[1])) if limits else F.min(~F.isnan("v"))
+        same = again.sub(t).df.agg(F.max(F.abs("v")).alias("off"))
+        rows = t.df.agg(F.count("*").alias("n"), F.count_distinct("i0", "i1").alias("places"), inside.alias("in_range"), (F.abs(F.avg("v") - mean) < 5 * spread / 20000**0.5).alias("mean_fits"), (F.abs(F.stddev_pop("v") / spread - 1) < 0.03).alias("spread_fits"))
+        rows = rows.crossJoin(same).select(F.lit(k).alias("f"), "n", "places", "in_range", "mean_fits", "spread_fits", (F.col("off") == 0).alias("repeats"))  # a row by a row
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"WITH {EMB} SELECT 'ndim' AS k, CAST(2 AS VARCHAR) AS v UNION ALL SELECT 'numel', CAST(n * 64 AS VARCHAR) FROM s UNION ALL SELECT 'shape', concat(n, ',64') FROM s UNION ALL SELECT 'stride', '64,1' UNION ALL SELECT 'scalar', '42.0' UNION ALL SELECT 'first', CAST(v AS VARCHAR) FROM e WHERE i0 = 0 AND i1 = 0")
+def tensor_metadata(spark, sf):
+    m = matrix(spark, sf)
+    first = m.select(0, 0).select(0, 0)
+    return _bools(spark, ndim=m.ndim, numel=m.numel, shape=",".join(map(str, m.shape)), stride=",".join(map(str, m.stride)), scalar=Tensor.scalar(spark, 42).item(), first=first.item())
+
+
+@query(f"WITH {EMB} SELECT i0, i1, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM e")
+def npy_round_trip(spark, sf):
+    """Through NumPy files of 64 rows each in the shared folder."""
+    from ..sources import npy
+    from ..sources.tables import new_path
+
+    path = new_path(spark, "npy")
+    npy.write(matrix(spark, sf), path, 64)
+    return npy.load(spark, path).df
+
+
+@query(f"WITH {PART} SELECT CAST(count(*) AS BIGINT) AS num, min(x) AS min_0, max(x) AS max_0, min(y) AS min_1, max(y) AS max_1, CAST(count(*) AS BIGINT) AS in_leaves, true AS children_add_up, true AS leaves_small FROM part")
+def kd_dump_round_trip(spark, sf):
+    """The tree written as text and read again: its root, and what holds of all nodes."""
+    from ..sources import dump
+    from ..sources.tables import new_path
+
+    path = new_path(spark, "dump")
+    dump.write_nodes(part_points(spark, sf).kd_nodes(leaf_size=64), path, 2)
+    nodes = dump.read_nodes(spark, path, 2)
+    kids = nodes.where("axis >= 0").select("num", F.explode(F.array("left", "right")).alias("idx"), F.col("idx").alias("parent"))
+    sums = kids.join(nodes.select("idx", F.col("num").alias("own")), "idx").groupBy("parent", "num").agg(F.sum("own").alias("s")).agg(F.min(F.col("s") == F.col("num")).alias("children_add_up"))
+    leaves = nodes.where("axis < 0").agg(F.sum("num").alias("in_leaves"), F.min((F.col("num") <= 64) | (F.col("bbox_min") == F.col("bbox_max"))).alias("leaves_small"))
+    root = nodes.where("idx = 0").select("num", *[F.col(f"bbox_{e}")[i].alias(f"{e}_{i}") for i in (0, 1) for e in ("min", "max")])
+    return root.crossJoin(leaves).crossJoin(sums).select("num", "min_0", "max_0", "min_1", "max_1", "in_leaves", "children_add_up", "leaves_small")  # a row each
+
+
+@query(f"WITH {PART}, b AS (SELECT max(x) - min(x) AS x, max(y) - min(y) AS y FROM part), s(side) AS (VALUES {', '.join(f'({_num(v)})' for v in (0.5, 0.9, 0.99, 1.0, 2.0))}) SELECT s.side, b.x > s.side OR b.y > s.side AS refused FROM s, b")
+def spread_check(spark, sf):
+    """Which periodic boxes are too small for the points."""
+    found = []
+    for side in (0.5, 0.9, 0.99, 1.0, 2.0):
+        try:
+            part_points(spark, sf, side)
+            found.append((side, False))
+        except ValueError:
+            found.append((side, True))
+    return spark.createDataFrame(found, "side double, refused boolean")
+
+
+@query(f"WITH {EMB} SELECT i0 AS id, round(sum(v * (i1 + 1)), 6) + 0 AS s, true AS moved FROM e GROUP BY i0")
+def shuffle_aligned(spark, sf):
+    """Rows and their numbers shuffled together: each number still stands beside its row, and nearly all have moved."""
+    from ..operators.tensor import shuffle
+
+    m = matrix(spark, sf)
+    ids = Tensor(spark.range(m.shape[0]).select(F.col("id").alias("i0"), F.col("id").cast("double").alias("v")), (m.shape[0],))
+    x, y = shuffle([m, ids], 0, seed=3)
+    sums = x.df.groupBy("i0").agg((F.round(F.sum(F.col("v") * (F.col("i1") + 1)), 6) + F.lit(0.0)).alias("s"))
+    both = sums.join(y.df.select("i0", F.col("v").cast("long").alias("id")), "i0")
+    still = both.where("i0 = id").agg((F.count("*") <= F.lit(m.shape[0] / 50 + 5)).alias("moved"))
+    return both.select("id", "s").crossJoin(still).select("id", "s", "moved")  # one row
+
+
+@query(f"WITH {EMB}, m AS (SELECT i1, avg(v) AS m, count(*) AS n FROM e GROUP BY i1) SELECT e.i0, e.i1, round(2 * (e.v - m.m) / m.n * 1000, 6) + 0 AS v FROM e JOIN m ON m.i1 = e.i1")
+def grad_var(spark, sf):
+    x = matrix(spark, sf).detach().requires_grad()
+    x.var(0).sum().mul(1000.0).backward()
+    return _r(x.grad)
+
+
+_TAPS = "k(ky, kx, w) AS (VALUES " + _KER + "), g AS (SELECT y, x, sum(k.w) AS v FROM range(8) a(y), range(8) b(x), range(4) c(oy), range(4) d(ox), k WHERE y = oy * 2 + k.ky - 1 AND x = ox * 2 + k.kx - 1 GROUP BY y, x)"
+
+
+@query(f"WITH {EMB}, {_TAPS} SELECT i0, CAST(0 AS BIGINT) AS i1, CAST(e.i1 // 8 AS BIGINT) AS i2, CAST(e.i1 % 8 AS BIGINT) AS i3, round(coalesce(g.v, 0), 6) + 0 AS v FROM e LEFT JOIN g ON g.y = e.i1 // 8 AND g.x = e.i1 % 8 UNION ALL SELECT -1, 0, 0, 0, CAST(n * 16 AS DOUBLE) FROM s")
+def grad_conv2d_source(spark, sf):
+    """Of the source, and (i0 = -1) of the bias."""
+    x = matrix(spark, sf).reshape(-1, 1, 8, 8).detach().requires_grad()
+    bias = Tensor.of(spark, [0.5]).requires_grad()
+    x.conv2d(Tensor.of(spark, [[KERNEL]]), bias, stride=2, padding=1).sum().backward()
+    zero = F.lit(0).cast("long")
+    return _r(x.grad).union(_r(bias.grad).select(F.lit(-1).cast("long"), zero, zero, zero, "v"))
+
+
+@query(f"WITH {EMB} SELECT i0, i1, CAST(6 AS DOUBLE) AS v FROM e")
+def grad_lifecycle(spark, sf):
+    """Copies pass gradients on, signs and views cut off don't, gradients add up until they are dropped."""
+    from ..operators.lifecycle import Frame, no_grad
+
+    x = matrix(spark, sf).detach().requires_grad()
+    x.sum().backward()
+    x.zero_grad()
+    with no_grad():
+        off = x.mul(7.0)
+    with Frame() as frame:
+        mark = frame.mark()
+        for _ in range(2):
+            x.clone().contiguous().mul(3.0).add(x.sign()).add(x.detach()).add(off).sum().backward()
+        frame.rollback(mark)
+    return x.grad.df
+
+
+@query(f"WITH {EMB}, {LAB}, n AS (SELECT count(*) AS n FROM y), k AS (SELECT CAST(k AS BIGINT) AS k FROM range(10) t(k)) SELECT CAST(e.i1 AS BIGINT) AS i0, k.k AS i1, round(2 * sum(e.v * (CASE WHEN y.y = k.k THEN 1 ELSE 0 END - CAST('0.1' AS DOUBLE))) / any_value(n.n), 6) + 0 AS v, round(ln(10), 6) AS loss FROM e JOIN y ON y.i0 = e.i0, k, n GROUP BY 1, 2")
+def sgd_step(spark, sf):
+    """The weights of a linear classifier after one step from zero, and the loss before it."""
+    import numpy as np
+
+    from ..operators.training import sgd, softmax_loss
+
+    got, history = sgd(_read(spark, sf, "embeddings"), "embedding", "label", {"w": np.zeros((64, 10)), "b": np.zeros(10)}, softmax_loss, rate=2.0, epochs=1)
+    rows = spark.createDataFrame([(i, j, float(got["w"][i, j]), float(history[0])) for i in range(64) for j in range(10)], "i0 long, i1 long, v double, loss double")
+    return rows.select("i0", "i1", (F.round("v", 6) + F.lit(0.0)).alias("v"), F.round("loss", 6).alias("loss"))
+
+
+# points in clusters, and one far from all
+
+CLUSTERS = "far AS (SELECT id, x, y FROM part UNION ALL SELECT -1 AS id, CAST(1000000 AS DOUBLE) AS x, CAST(1000000 AS DOUBLE) AS y)"
+
+
+def clustered_points(spark, sf) -> PointSet:
+    t = part_points(spark, sf).df.select("id", F.col("x0").alias("x"), F.col("x1").alias("y"))
+    far = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(1e6).alias("x"), F.lit(1e6).alias("y"))
+    return PointSet(t.union(far), "id", ["x", "y"])
+
+
+@query(f"WITH {PART}, {CLUSTERS} {_knn_sql('far', 'far', D2, 5)}")
+def knn_clustered(spark, sf):
+    """All but one point in a millionth of the extent."""
+    p = clustered_points(spark, sf)
+    return p.nearest(p, 5)
+
+
+@query(f"WITH {PART}, {CLUSTERS} SELECT a.id AS i, b.id AS j FROM far a, far b WHERE a.id < b.id AND {D2} <= {_num(0.03 * 0.03)}")
+def pairs_clustered(spark, sf):
+    return clustered_points(spark, sf).pairs(0.03)
+
+
 # --- rows only -----------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Reading goes through Spark's binary file source, so any store that Spark reads
 will do; the element type and Fortran order of the header are honoured. A folder
 of files stacks along the first axis in order of their names. ``shards`` gives the
 bytes of float32 C-order files, one for each range of the first axis, as rows
-for any sink; ``save`` writes one small file from the driver.
+for any sink; ``write`` puts them under a path of any Hadoop file system, file by
+file; ``save`` writes one small file from the driver.
 """
 
 from __future__ import annotations
@@ -61,6 +62,20 @@ def save(tensor: Tensor, path: str) -> None:
     np.save(path if path.endswith(".npy") else f"{path}.npy", tensor.numpy().astype("<f4"))
 
 
+def write(tensor: Tensor, path: str, rows_a_file: int) -> None:
+    """Files ``part-00000000.npy``, ... under ``path``, whose order of names is that of the rows.
+
+    Bytes pass from the tasks to the file system by way of the driver, one file at a time, so its memory holds one.
+    """
+    spark = tensor.df.sparkSession
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in shards(tensor, rows_a_file).toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/part-{r['part']:08}.npy")
+        out = where.getFileSystem(settings).create(where, True)
+        out.write(bytearray(r["content"]))
+        out.close()
+
+
 def shards(tensor: Tensor, rows_a_file: int) -> DataFrame:
     """(part, content): NPY bytes of consecutive ranges of the first axis, each of ``rows_a_file`` rows at most."""
     if not tensor.ndim:

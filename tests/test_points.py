@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridloom.operators import points
+from gridloom.operators import points, tiles
 from gridloom.operators.points import PointSet
 
 RADII = [0.3, 0.05, 0.2, 0.2, 0.0]
@@ -82,6 +82,30 @@ def test_counts(spark, periodic, cumulative):
             assert got[k] == (RADII[k], n[place]) and np.isclose(gotw[k], s[place])
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_many_and_crowded_tiles(spark, monkeypatch, clustered):
+    """Small tiles, with queries and points dealt to several tasks of a tile, give what one tile gives."""
+    a, b, wa, wb, p, q = sets(spark, n=900, m=300, clustered=clustered)
+    monkeypatch.setattr(tiles, "TILE", 60)
+    monkeypatch.setattr(tiles, "MOST_ROWS", 40)
+    d2, own = distances(b, a, None), distances(a, a, None)
+    near = {(x.query_id, x.id) for x in p.radius(q, 0.2).collect()}
+    assert near == {(i, j) for i, j in zip(*np.nonzero(d2 <= 0.2 * 0.2))}
+    pairs = p.pairs(0.15).collect()
+    assert len(pairs) == len(set(pairs)) and p.pairs_set(0.15) == {(x.i, x.j) for x in pairs} == {(i, j) for i, j in zip(*np.nonzero(own <= 0.15 * 0.15)) if i < j}
+    assert [x["count"] for x in p.counts([0.1, 0.2], q).orderBy("k").collect()] == [(d2 <= 0.1 * 0.1).sum(), (d2 <= 0.2 * 0.2).sum()]
+    for k in (3, 20):
+        got = p.nearest(q, k).toPandas().sort_values(["query_id", "rank"])
+        assert got.id.tolist() == [j for i in range(len(b)) for j in np.lexsort((np.arange(len(a)), d2[i]))[:k]] and got["rank"].tolist() == list(range(1, k + 1)) * len(b)
+
+
+def test_sets_as_context(spark):
+    p = sets(spark)[4]
+    with p as open_set:
+        assert open_set.df.is_cached
+    assert not p.df.is_cached
+
+
 def test_limits(spark):
     a, b, *_, p, q = sets(spark)
     with pytest.raises(ValueError):
