@@ -36,8 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.select("doc_id", "text", "lang"))
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    rows = docs.select(packed(docs).alias("row"), "text")
-    kept = score(rows, model, ["row"]).where(F.col("lang_pred") != UNDETERMINED)
+    plain = dict(docs.dtypes).get("text") == "string"
+    rows = docs.select(packed(docs).alias("row"), *([] if plain else ["text"]))
+    kept = score(rows, model, ["row"], "row" if plain else None).where(F.col("lang_pred") != UNDETERMINED)
     return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 

@@ -217,27 +217,30 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def score(docs: DataFrame, languages: Languages | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred, score and bits_per_byte of the chosen language."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+def score(docs: DataFrame, languages: Languages | None, keep: list[str], within: str | None = None) -> DataFrame:
+    """Columns ``keep`` of docs with lang_pred, score and bits_per_byte of the chosen language.
+
+    The text is the column text or, so that it doesn't travel twice, the string field text of the kept struct ``within``, which must not be null.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *([] if within else [F.col("text").cast("string").alias("text")]))
     out = StructType([rows.schema["kept"], *SCORED.fields])
     models = list(languages.models()) if languages and len(languages.groups) == 1 else languages.models() if languages else [None]
     last = len(languages.groups) if languages else 1
     for turn, model in enumerate(models, 1):
-        rows = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), turn == 1, turn < last), out.add(rows.schema["text"]) if turn < last else out)
+        rows = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), turn == 1, turn < last, within), out.add(rows.schema["text"]) if turn < last and not within else out)
         out = StructType([rows.schema["kept"], *SCORED.fields])
         if turn < last:  # or the workers of all groups would hold their models at once
             rows = materialize(rows, "language-scores")
     return rows.select("kept.*", "lang_pred", "score", "bits_per_byte")
 
 
-def _scorer(shared, first: bool, more: bool):
+def _scorer(shared, first: bool, more: bool, within: str | None):
     """One group of languages: the best of it and of those before; ``score`` is, until the last, the sum of all languages' odds against the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, len(b), ROWS_AT_ONCE)):
-            texts = batch["text"].to_pylist()
+            texts = (batch["kept"].field(within).field("text") if within else batch["text"]).to_pylist()
             pred = [UNDETERMINED] * len(texts) if first else batch["lang_pred"].to_pylist()
             odds, rate = np.zeros(len(texts)), np.full(len(texts), np.inf)
             if not first:
@@ -257,7 +260,7 @@ def _scorer(shared, first: bool, more: bool):
                 rate[known] = best
             sure = odds if more else np.where(odds > 0, 1 / np.maximum(odds, 1e-300), 0.0)
             columns = {"kept": batch["kept"], "lang_pred": pa.array(pred, pa.string()), "score": pa.array(sure), "bits_per_byte": pa.array([None if np.isinf(x) else x for x in rate.tolist()], pa.float64())}
-            if more:
+            if more and not within:
                 columns["text"] = batch["text"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

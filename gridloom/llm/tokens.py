@@ -147,6 +147,12 @@ def encoder(definition: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Workers outlive the stage that encodes; its tables would stay beside those of all later stages."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenize(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
     """Blocks of raw ids, in ascending doc_id order by (shard, block)."""
 
@@ -275,6 +281,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
     width = 2 if encoder(definition).kind.itemsize == 2 else 4
 
     def count(batches):
+        forget_encoders()
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             for ids in batch["ids"]:
@@ -298,6 +305,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
     before = dict(zip(sums["shard"].tolist(), (sums["n"].cumsum() - sums["n"]).tolist()))
 
     def pack(batches):
+        forget_encoders()
         for batch in batches:
             for r in batch.to_pylist():
                 got = np.frombuffer(r["ids"], dtype=f"<u{width}")

@@ -365,6 +365,8 @@ def test_language(spark, odd, empty):
 
 def test_groups_of_languages_agree_with_one_model(spark, monkeypatch):
     """Scores don't depend on how many models the languages are dealt to, and ties go to the first."""
+    from pyspark.sql import functions as F
+
     rng = random.Random(14)
     rows = [(i, words(rng, 30) if lang < "ld" else " ".join(rng.choice([lang * 2, "und", "zwei"]) for _ in range(30)), lang, "s", 0, 0, "", "") for i, lang in enumerate(["la", "lb", "lc", "ld", "le"] * 12)]
     rows += [(100, "12", "la", "s", 0, 0, "", ""), (101, None, "la", "s", 0, 0, "", "")]
@@ -376,6 +378,10 @@ def test_groups_of_languages_agree_with_one_model(spark, monkeypatch):
     assert parts.groups == [["la"], ["lb"], ["lc"], ["ld"], ["le"]]
     for a, b in zip(one, sorted(map(tuple, langid.score(docs, parts, ["doc_id"]).collect()))):
         assert a[:2] == b[:2] and np.allclose(a[2], b[2]) and (a[3] is b[3] is None or np.allclose(a[3], b[3]))
+    nested = docs.select(F.struct(*docs.columns).alias("row"))
+    for models, flat in ((model, one), (parts, sorted(map(tuple, langid.score(docs, parts, ["doc_id"]).collect())))):
+        got = langid.score(nested, models, ["row"], "row").select("row.doc_id", "lang_pred", "score", "bits_per_byte")
+        assert sorted(map(tuple, got.collect())) == flat
 
 
 def test_code_lengths_are_those_of_a_code():
