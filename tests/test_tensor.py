@@ -237,3 +237,14 @@ def test_binary_functions_on_odd_numbers(spark, tmp_path):
     got = {r.l_orderkey: r for r in core.queries()["elementwise_binary"](spark, str(tmp_path)).collect()}
     assert [got[k].div for k in range(4)] == [inf] * 4 and got[8].div == 8
     assert [got[k].pow for k in (0, 1, 2, 4, 5, 6, 8)] == [1, 1, 1, 1, 1, 1, 2] and got[7].pow is None and got[3].pow is None
+
+
+def test_products_of_large_matrices_are_dealt(spark, monkeypatch):
+    from gridloom.operators import tensor
+
+    monkeypatch.setattr(tensor, "BROADCAST_ELEMENTS", 100)
+    x0 = np.random.default_rng(3).normal(size=(200, 5))
+    x = Tensor.of(spark, x0)
+    t = x.matmul(x.transpose(0, 1))
+    assert "SortMergeJoin [linner" in (plan := t.df._jdf.queryExecution().executedPlan().toString()) and ", la#" in plan
+    same(t, x0 @ x0.T)
