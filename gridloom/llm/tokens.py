@@ -23,11 +23,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +37,10 @@ from .shared import materialize, drop_table, new_path, partitions, release
 MAX_BITS = 16
 SEGMENT = 64
 BLOCK_IDS = 1 << 17
-#: Entries that each of the two halves of a worker's table holds (about 100 MB together), so memory is bounded at any vocabulary of words.
-PARTS_KEPT = 250_000
+#: Words that a worker's table holds (about 25 MB) and the signs of the longest one, so memory is bounded at any vocabulary of words.
+PARTS_KEPT, LONGEST = 500_000, 64
+#: Signs of the texts that are looked up together (one text may have more).
+SIGNS_AT_ONCE = 1 << 22
 # First and last code points of the blocks whose letters go to the model directly (Latin, Greek, Cyrillic, kana, common ideographs).
 DIRECT = ((0x61, 0x7A), (0xDF, 0x24F), (0x390, 0x3CE), (0x430, 0x45F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5))
 
@@ -50,30 +52,53 @@ DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # --- ids -----------------------------------------------------------------------------------------
 
 
-class Table(dict):
-    """Results of a function of strings: the recent ones, and a second half that is dropped when the first is full.
-
-    What is asked for again moves back to the first half, so frequent strings stay while rare ones pass through.
-    """
-
-    def __init__(self, make: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+class Table:
+    """Ids of the strings last asked for, in arrays of Arrow and numpy, in as few bytes a string as they take; strings of over ``LONGEST`` signs aren't kept."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[list[int], list[int]]], kind: np.dtype, limit: int):
+        self.make, self.kind, self.limit, self.recent = make, kind, limit, 0
+        self.known = pa.array([], pa.large_string())
+        self.start, self.size, self.values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
+
+    def __len__(self) -> int:
+        """Strings of the last look-up that are kept."""
+        return self.recent
+
+    @property
+    def older(self) -> pa.Array:
+        """Strings kept from those before."""
+        return self.known[self.recent :]
+
+    def look_up(self, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different strings: values, and where in them each one's ids start and how many they are. What isn't known is made."""
+        found = pc.index_in(asked, value_set=self.known).fill_null(-1).to_numpy()
+        old, new = found >= 0, found < 0
+        ids, sizes = self.make(asked.filter(pa.array(new)).to_pylist())
+        start, size = np.empty(len(found), dtype=np.int64), np.empty(len(found), dtype=np.int64)
+        start[old], size[old] = self.start[found[old]], self.size[found[old]]
+        size[new] = sizes
+        start[new] = len(self.values) + np.cumsum(size[new]) - size[new]
+        values = np.concatenate([self.values, np.array(ids, dtype=self.kind)])
+        # what was asked for now comes first, so that what wasn't in a long time drops out
+        short, others = pc.less_equal(pc.utf8_length(asked), LONGEST), np.ones(len(self.known), dtype=bool)
+        others[found[old]] = False
+        first = asked.filter(short)
+        self.known, self.recent = pa.concat_arrays([first, self.known.filter(pa.array(others))])[: self.limit], min(len(first), self.limit)
+        short = short.to_numpy(zero_copy_only=False)
+        begin, self.size = (np.concatenate([now[short], was[others]])[: self.limit] for now, was in ((start, self.start), (size, self.size)))
+        self.values, self.start = runs(values, begin, self.size), np.cumsum(self.size) - self.size
+        return values, start, size
+
+
+def runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all runs, one after the other."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class Encoder:
-    """The library's tokenizer behind a table of parts that it has encoded before.
+    """The library's tokenizer behind a table of parts that it has encoded before, which are looked up for many texts at once.
 
     The tokenizer splits at white space and between letters and other signs, so
     a text's ids are those of its parts in order. Texts for which that could fail
@@ -89,36 +114,88 @@ class Encoder:
         self.whole = Tokenizer.from_str(definition)
         self.model = self.whole.model
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.parts = Table(self._part, PARTS_KEPT)
+        self.parts = Table(self._make, self.kind, PARTS_KEPT)
         #: Strings that send a text through the library whole; the separators are white space to str.split() only.
         self.odd = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
-        self.ascii = re.compile(r"[a-z]+")
         letters = (chr(c) for a, b in DIRECT for c in range(a, b + 1))
-        self.letters = re.compile("[" + "".join(c for c in letters if c.isalpha() and c.lower() == c) + "]+")
+        letters = "[" + "".join(c for c in letters if c.isalpha() and c.lower() == c) + "]+"
+        self.letters, self.only_letters = re.compile(letters), f"^{letters}$"
         self.spelled = byte_alphabet()
         self.split = normal_splits(self.whole)
 
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        if self.ascii.fullmatch(part):
-            return array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
-        if self.letters.fullmatch(part):
-            return array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.spelled))]).tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _make(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of all parts (of lower-cased texts), and how many each has."""
+        ids, ends, model = [], [0], self.model.tokenize
+        for part in parts:
+            if part.isascii() and part.isalpha():
+                ids += [t.id for t in model(part)]
+            elif self.letters.fullmatch(part):
+                ids += [t.id for t in model(part.encode().decode("latin-1").translate(self.spelled))]
+            else:
+                ids += self._whole(part)
+            ends.append(len(ids))
+        return ids, np.diff(ends)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and how many each has; every different word is looked up once."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        asked, which = coded.dictionary, coded.indices.to_numpy()
         # a run of letters, then signs without apostrophe: the tokenizer never joins the two
-        word = part.rstrip(".,;:!?*$%&#|()")
-        if word != part and word.isalpha():
-            return self.parts[word] + self.parts[part[len(word) :]]
-        return self._ids(self.whole.encode(part, add_special_tokens=False).ids)
+        run = pc.utf8_rtrim(asked, characters=".,;:!?*$%&#|()")
+        ended = np.flatnonzero(pc.less(pc.binary_length(run), pc.binary_length(asked)))
+        ended = ended[pc.match_substring_regex(run.take(pa.array(ended)), self.only_letters).to_numpy(zero_copy_only=False)]
+        at = pa.array(ended)
+        signs = [w[len(x) :] for w, x in zip(asked.take(at).to_pylist(), run.take(at).to_pylist())]
+        both = np.zeros(len(asked), dtype=bool)
+        both[ended] = True
+        units = pa.concat_arrays([pc.if_else(pa.array(both), run, asked), pa.array(signs, pa.large_string())]).dictionary_encode()
+        values, start, size = self.parts.look_up(units.dictionary)
+        unit = units.indices.to_numpy()
+        # of each word the unit that it is or begins with, and the one that it ends with, if any
+        begin, many = np.zeros((len(asked), 2), dtype=np.int64), np.zeros((len(asked), 2), dtype=np.int64)
+        begin[:, 0], many[:, 0] = start[unit[: len(asked)]], size[unit[: len(asked)]]
+        begin[ended, 1], many[ended, 1] = start[unit[len(asked) :]], size[unit[len(asked) :]]
+        values, size = runs(values, begin.ravel(), many.ravel()), many.sum(1)
+        return runs(values, (np.cumsum(size) - size)[which], size[which]), size[which]
 
     def encode(self, text: str) -> bytes:
-        low = text.lower()
-        composed = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and "Σ" not in text)
-        if not self.split or not composed or any(x in low for x in self.odd):
-            return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.parts.__getitem__, low.split()))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        at, words, ends = [], [], [0]
+        for i, text in enumerate(texts):
+            low = text.lower()
+            composed = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and "Σ" not in text)
+            if not self.split or not composed or any(x in low for x in self.odd):
+                out[i] = np.array(self._whole(text), dtype=self.kind).tobytes()
+                continue
+            words += low.split()
+            at.append(i)
+            ends.append(len(words))
+        if words:
+            ids, sizes = self._words(words)
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+            for i, a, b in zip(at, cuts, cuts[1:]):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+
+def by_size(rows: Iterable[tuple[int | None, str]], most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Rows in order, as many together as have ``most`` signs (one more row may go over it)."""
+    found, n = [], 0
+    for row in rows:
+        found.append(row)
+        n += len(row[1])
+        if n >= most:
+            yield found
+            found, n = [], 0
+    if found:
+        yield found
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -167,9 +244,10 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
                 names=["shard", "block", "ids_before", "doc_ids", "doc_sizes", "ids"],
             )
 
-        for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = enc.encode(text.as_py() or "") + end
+        texts = ((name.as_py(), text.as_py() or "") for batch in batches for name, text in zip(batch["doc_id"], batch["text"]))
+        for some in by_size(texts, SIGNS_AT_ONCE):
+            for (name, _), ids in zip(some, enc.encode_all([text for _, text in some])):
+                ids += end
                 names.append(name)
                 sizes.append(len(ids) // width)
                 parts.append(ids)

@@ -194,6 +194,23 @@ def test_encoder_agrees_with_the_library():
     assert len(enc.parts) + len(enc.parts.older) <= 1000
 
 
+def test_different_words_are_encoded_once_for_many_texts():
+    public = pytest.importorskip("public_tokenizers")
+    enc = tokens.Encoder(tokens.tokenizer_definition(public.path("word_bpe_49k.json")))
+    made, make = [], enc.parts.make
+    enc.parts.make = lambda parts: made.extend(parts) or make(parts)
+    enc.parts.limit = 10  # far fewer than there are words
+    rng = random.Random(3)
+    words = [f"{x}é" if k % 5 == 0 else x for k, x in enumerate({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)})]
+    texts = [" ".join(rng.choice(words).title() + rng.choice(["", "", ",", "...", "'s"]) for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", "Σ two", " \n", "x" * 300 + "."]
+    for some in (texts, texts[:7]):
+        made.clear()
+        for text, ids in zip(some, enc.encode_all(some), strict=True):
+            assert np.frombuffer(ids, dtype="<u2").tolist() == enc.whole.encode(text, add_special_tokens=False).ids, text
+        assert len(made) == len(set(made)) and not any(x[:-1] in words and x[-1] in ",." for x in made)
+    assert len(enc.parts) + len(enc.parts.older) <= 10
+
+
 @pytest.mark.parametrize("n,limit", [(1, 16), (2, 16), (7, 4), (300, 12), (5000, 16)])
 def test_code(n, limit):
     rng = np.random.default_rng(n)
