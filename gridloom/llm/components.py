@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import lean, materialize
 
 
 class Forest:
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges to itself or with a null end are ignored; order and repeats don't matter; without edges the result is empty.
     """
     usable = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    stars = materialize(usable.mapInArrow(local_forest, "a long, b long"), "forest")
+    stars = materialize(usable.mapInArrow(lean(local_forest), "a long, b long"), "forest")
     while True:
         shape = stars.agg(F.count("*").alias("n"), F.countDistinct("a").alias("nodes")).first()
         inner = stars.join(stars.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() if shape.n == shape.nodes else 1

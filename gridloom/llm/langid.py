@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import materialize
+from .shared import lean, materialize
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -62,7 +62,7 @@ def count_contexts(rows: DataFrame) -> DataFrame:
                 gram, n = np.unique(flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Tree:
@@ -227,7 +227,7 @@ def score(docs: DataFrame, languages: Languages | None, keep: list[str], within:
     models = list(languages.models()) if languages and len(languages.groups) == 1 else languages.models() if languages else [None]
     last = len(languages.groups) if languages else 1
     for turn, model in enumerate(models, 1):
-        rows = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), turn == 1, turn < last, within), out.add(rows.schema["text"]) if turn < last and not within else out)
+        rows = rows.mapInArrow(lean(_scorer(docs.sparkSession.sparkContext.broadcast(model), turn == 1, turn < last, within)), out.add(rows.schema["text"]) if turn < last and not within else out)
         out = StructType([rows.schema["kept"], *SCORED.fields])
         if turn < last:  # or the workers of all groups would hold their models at once
             rows = materialize(rows, "language-scores")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, own_columns, packed, row_hash
+from .shared import lean, materialize, own_columns, packed, row_hash
 
 SHINGLE = 5
 M, BANDS = 128, 32
@@ -192,7 +192,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 a += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(lean(run), SIGNED)
 
 
 def _signed(ids: pa.Array, n: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -255,14 +255,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     for side in "ab":
         own = nodes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         pairs = pairs.join(own, side)
-    near = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b").mapInArrow(_similar_signatures(_least(percent)), "a long, b long")
+    near = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_similar_signatures(_least(percent))), "a long, b long")
     near = materialize(near.distinct(), "similar-pairs")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     texts = materialize(texts, "similar-texts")
     for side in "ba":
         near = near.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return materialize(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    return materialize(near.select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirm(percent)), "a long, b long").distinct(), "links")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def prefix_pairs(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     Of sets with n shingles in one common order, two that are similar enough share one of their first n - ceil(n * threshold) + 1.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_shingles, "doc_id long, n long, hashes array<long>"), "shingles")
+    sets = materialize(texts.mapInArrow(lean(_shingles), "doc_id long, n long, hashes array<long>"), "shingles")
     each = sets.select("doc_id", "n", F.explode("hashes").alias("hash"))
     shared = each.groupBy("hash").agg(F.count("*").alias("f")).where("f > 1")
     # shingles of one document only come first and lead to no pair

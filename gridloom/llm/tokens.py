@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, drop_table, new_path, partitions, release
+from .shared import drop_table, lean, materialize, new_path, partitions, release
 
 MAX_BITS = 16
 SEGMENT = 64
@@ -227,7 +227,6 @@ def encoder(definition: str) -> Encoder:
 def forget_encoders() -> None:
     """Workers outlive the stage that encodes; its tables would stay beside those of all later stages."""
     _ENCODERS.clear()
-    pa.default_memory_pool().release_unused()
 
 
 def tokenize(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
@@ -262,7 +261,7 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
     spread = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), spread.alias("h"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    return rows.select("doc_id", "text").mapInArrow(shard, RAW)
+    return rows.select("doc_id", "text").mapInArrow(lean(shard), RAW)
 
 
 # --- the code ------------------------------------------------------------------------------------
@@ -372,7 +371,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    counts = raw.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counts = raw.select("ids").mapInArrow(lean(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     ids, lengths = counts["id"].to_numpy(), code_lengths(counts["n"].to_numpy())
     code = Code(ids, lengths)
     book = spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, lengths)], "id int, bits int")
@@ -393,7 +392,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
                     names=["shard", "block", "first", "n_ids", "doc_ids", "doc_sizes", "segments", "payload"],
                 )
 
-    raw.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.mapInArrow(lean(pack), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_table(raw)
 
 
@@ -416,7 +415,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "ids"],
                 )
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, start long, ids array<int>")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(lean(decode), "doc_id long, start long, ids array<int>")
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -432,7 +431,7 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["first"] + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, DIGEST)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(lean(decode), DIGEST)
 
 
 def tokenizer_definition(path: str) -> str:

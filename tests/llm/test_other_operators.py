@@ -1,13 +1,20 @@
 """Vectors, conversations, components, the pipeline and the entry module."""
 
+import ctypes
+import inspect
 import json
 import math
+import pathlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from gridloom.llm import chat, components, embdedup
+from gridloom.llm import chat, components, embdedup, langid, neardup, tokens
+from gridloom.llm.shared import lean
 from tests.llm.conftest import odd_rows
 
 
@@ -165,6 +172,36 @@ def test_language_stage_without_labels(spark):
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "plain words", None), (5, "\u6771\u4eac", None)]
 
 
+def test_workers_give_memory_back(spark):
+    """What a task's many small strings took is no longer the worker's in the stage after it."""
+    if not pathlib.Path("/proc/self/smaps_rollup").exists() or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("needs Linux and glibc")
+
+    def run(batches):
+        def mb():
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+        for _ in batches:
+            start = mb()
+            made = [b"x" * 600 for i in range(100_000)]
+            made = [bytes(x + b"%d" % i) for i, x in enumerate(made)]
+            most, last = mb(), made[-1] + b"!"  # made last, so that the heap doesn't shrink by itself
+            pa.kept = last
+            del made
+            yield pa.RecordBatch.from_pydict({"start": [start], "most": [most]})
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"now": [sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text()))) / 1024]})
+
+    one = spark.range(1).coalesce(1)
+    took = one.mapInArrow(lean(run), "start double, most double").first()
+    now = one.mapInArrow(look, "now double").first().now
+    assert took.most - took.start > 40 and now < took.start + (took.most - took.start) / 2
+    for module in (langid, neardup, tokens, components):
+        assert all("lean(" in x for x in inspect.getsource(module).splitlines() if ".mapInArrow(" in x)
+
+
 def test_entry():
     import __spark_entry__ as entry
 
