@@ -247,7 +247,7 @@ def elementwise_unary(spark, sf):
 def elementwise_binary(spark, sf):
     q, t = "l_quantity", "l_tax"
     div = F.when(F.col(t) == 0, F.lit(E.INF)).otherwise(E.div(q, t))  # whatever is divided by 0
-    return _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", E.add(q, t).alias("add"), E.sub(q, t).alias("sub"), E.mul(q, t).alias("mul"), div.alias("div"), F.round(E.power(q, t), 9).alias("pow"))
+    return _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", E.add(q, t).alias("add"), E.sub(q, t).alias("sub"), E.mul(q, t).alias("mul"), div.alias("div"), E.rounded(E.power_libm(q, t), 9).alias("pow"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE CAST(0 AS DOUBLE) END AS picked, greatest(CAST(50000 AS DOUBLE), least(CAST(150000 AS DOUBLE), o_totalprice)) AS clamped FROM orders")

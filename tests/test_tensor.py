@@ -239,6 +239,23 @@ def test_binary_functions_on_odd_numbers(spark, tmp_path):
     assert [got[k].pow for k in (0, 1, 2, 4, 5, 6, 8)] == [1, 1, 1, 1, 1, 1, 2] and got[7].pow is None and got[3].pow is None
 
 
+def test_powers_of_large_numbers_have_the_bits_of_their_sql(spark, tmp_path):
+    import duckdb
+
+    from gridloom.plans import queries as core
+
+    inf, nan = math.inf, math.nan
+    some = np.random.default_rng(5)
+    rows = [(40371.48882376883, 1.3826206220303918), (40337.14030176712, 3.7430162325009073), (-0.0, 3.0), (-0.0, 1.0), (0.0, -1.0), (-0.0, -3.0), (-2.0, 0.5), (-1e300, 3.0), (nan, 0.0), (nan, 1.0), (1.0, nan), (-1.0, inf), (inf, -1.0), (None, 0.0), (1.0, None), (0.5, 1.0), (2.5e-9, 1.0), (-1.5e-9, 1.0)]
+    rows += zip(some.uniform(1, 50000, 2000).tolist(), some.uniform(0, 8, 2000).tolist())
+    spark.createDataFrame([(k, 1, *r) for k, r in enumerate(rows)], "l_orderkey long, l_linenumber int, l_quantity double, l_tax double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = core.queries()["elementwise_binary"](spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sql.sql(core.oracle_sql()["elementwise_binary"] + " ORDER BY l_orderkey").fetchall()
+    assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want]
+
+
 def test_products_of_large_matrices_are_dealt(spark, monkeypatch):
     from gridloom.operators import tensor
 
