@@ -265,3 +265,16 @@ def test_products_of_large_matrices_are_dealt(spark, monkeypatch):
     t = x.matmul(x.transpose(0, 1))
     assert "SortMergeJoin [linner" in (plan := t.df._jdf.queryExecution().executedPlan().toString()) and ", la#" in plan
     same(t, x0 @ x0.T)
+
+
+def test_blocks_of_matrices_are_dealt_as_bytes(spark, monkeypatch):
+    """4 bytes an element that single precision holds, else 8, none beyond the matrix; products over several inner blocks stay right."""
+    from gridloom.operators import tensor
+
+    x0 = np.random.default_rng(4).normal(size=(70, 67))
+    short = x0.astype(np.float32).astype(float)
+    for x, size in ((x0, 8), (short, 4)):
+        blocks = {(r.louter, r.linner): len(r.le) for r in tensor._blocks(Tensor.of(spark, x), 0, "l", False).collect()}
+        assert blocks == {(i, j): size * a * b for i, a in enumerate((64, 6)) for j, b in enumerate((64, 3))}
+    monkeypatch.setattr(tensor, "BROADCAST_ELEMENTS", 100)
+    same(Tensor.of(spark, x0).matmul(Tensor.of(spark, short.T)), x0 @ short.T)
